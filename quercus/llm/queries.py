@@ -8,6 +8,34 @@ from pyspark.sql import functions as F
 from quercus.session import cut_lineage, read
 
 
+def _scan_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scanned rows, and typed texts whose spelling is trusted."""
+    module = read(spark, folder, "module")
+    fields = ["inhalte", "fachkompetenz", "literatur", "methodenkompetenz", "lehr_lerneinheiten", "modulname"]
+    typed = module.where("herkunft <> 'scan'").select(F.explode(F.array(*fields)).alias("t"))
+    return module.where("herkunft = 'scan'"), typed.unionByName(read(spark, folder, "literatur").select(F.col("eintrag_roh").alias("t")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quercus.llm.scans import repair
+
+    scanned, typed = _scan_inputs(spark, folder)
+    return repair(scanned, "zeile_id", ["inhalte", "fachkompetenz", "literatur"], typed, "t")[0]
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    from quercus.llm.scans import repair
+
+    scanned, typed = _scan_inputs(spark, folder)
+    return repair(scanned, "zeile_id", ["inhalte", "fachkompetenz", "literatur"], typed, "t")[1]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quercus.llm.markup import render_blocks
+
+    return render_blocks(read(spark, folder, "module").where("herkunft = 'web'"), "zeile_id", ["inhalte", "lehr_lerneinheiten"])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from quercus.llm.components import hash_to_min
 
@@ -73,4 +101,14 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(fair_mix(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_weights, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_stats(spark, folder).where("art in ('liste', 'tabelle', 'schrott')").select("doc_id", "art")
+
+
+def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
+    from quercus.llm.quality import text_statistics
+
+    return text_statistics(read(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p5_found, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
