@@ -563,3 +563,20 @@ def render_blocks(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(arts, pa.string()), pa.array(values, pa.string())], ["k", "feld", "pos", "art", "wert"])
 
     return spread(cells).mapInArrow(run, f"k {kind}, feld string, pos bigint, art string, wert string").withColumnRenamed("k", key)
+
+
+def visible_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text``: texts with markup rendered to one line per block, without code and
+    formulas; plain texts as they are. Null texts stay null."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                blocks = render(t)
+                out.append("\n".join(v for a, v in blocks if a not in (CODE, FORMULA)) if blocks else t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["k", "t"])
+
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    return rows.mapInArrow(run, f"k {kind}, t string").select(F.col("k").alias(key), F.col("t").alias(text))

@@ -42,6 +42,46 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return hash_to_min(read(spark, folder, "lit_treffer"), "key_a", "key_b").withColumnRenamed("key", "lit_key")
 
 
+def _module_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Points and sentences of the modules' three fields, each row cleaned after its herkunft."""
+    from quercus.llm.markup import visible_text
+    from quercus.llm.scans import repair
+    from quercus.llm.spectral import point_tokens
+    from quercus.operators.packed import unpack
+
+    module = read(spark, folder, "module").select("zeile_id", "herkunft", "inhalte", "fachkompetenz", "methodenkompetenz")
+    typed, scanned, web = (module.where(F.col("herkunft") == h) for h in ("formular", "scan", "web"))
+    clean = module.where("herkunft <> 'scan'").select(F.explode(F.array("inhalte", "fachkompetenz", "methodenkompetenz")).alias("t"))
+    texts = [
+        unpack(typed, "zeile_id", ["inhalte"], least=1).select("zeile_id", F.col("wert").alias("t")),
+        repair(scanned, "zeile_id", ["inhalte", "fachkompetenz"], clean, "t")[1].select("zeile_id", F.col("text").alias("t")),
+        visible_text(web, "zeile_id", "inhalte").select("zeile_id", F.col("inhalte").alias("t")),
+        module.where("herkunft <> 'scan'").select("zeile_id", F.col("fachkompetenz").alias("t")),
+        module.select("zeile_id", F.col("methodenkompetenz").alias("t")),
+        module.where("coalesce(herkunft, '') not in ('formular', 'scan', 'web')").select("zeile_id", F.col("inhalte").alias("t")),
+    ]
+    all_texts = texts[0]
+    for t in texts[1:]:
+        all_texts = all_texts.unionByName(t)
+    return point_tokens(all_texts.where("t is not null"), "zeile_id", "t")
+
+
+def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from quercus.llm.spectral import spectral_clusters
+
+    return spectral_clusters(_module_points(spark, folder)).withColumnRenamed("k", "zeile_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_clusters(spark, folder).select("zeile_id", "gruppe")
+
+
+def p6_typical(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster by its size and its three most typical rows."""
+    top = p6_clusters(spark, folder).where("rang <= 3").groupBy("gruppe", "groesse")
+    return top.agg(F.expr("transform(array_sort(collect_list(struct(rang, zeile_id))), x -> x.zeile_id)").alias("typisch"))
+
+
 def _module_terms(spark: SparkSession, folder: str, formular_only: bool) -> DataFrame:
     from quercus.llm.distinctive import letter_terms
 
@@ -111,4 +151,4 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     return text_statistics(read(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p5_found, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p5_found, p6_found, p6_clusters, p6_typical, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
