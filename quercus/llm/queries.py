@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from quercus.session import cut_lineage, read
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from quercus.llm.names import person_groups, variant_pairs, work_groups
+
+    works = work_groups(read(spark, folder, "literatur"), "lit_key", "autoren_roh", "erstautor_nachname", "titel", "jahr", "ort")
+    people = person_groups(read(spark, folder, "module"), "verantwortung")
+    pairs = [variant_pairs(g).select(F.lit(f).alias("feld"), "name_a", "name_b") for f, g in (("lit_key", works), ("verantwortung", people))]
+    return pairs[0].unionByName(pairs[1])
+
+
 def _scan_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Scanned rows, and typed texts whose spelling is trusted."""
     module = read(spark, folder, "module")
@@ -151,4 +160,4 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     return text_statistics(read(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p5_found, p6_found, p6_clusters, p6_typical, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_repaired, p4_found, p5_found, p6_found, p6_clusters, p6_typical, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_stats)}
