@@ -1 +1,7 @@
-QUERIES = {}
+"""All named queries outside the llm subpackage."""
+
+from __future__ import annotations
+
+from quercus.plans import packed
+
+QUERIES = {**packed.QUERIES}
