@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quercus.plans import packed
+from quercus.plans import packed, similarity
 
-QUERIES = {**packed.QUERIES}
+QUERIES = {**packed.QUERIES, **similarity.QUERIES}

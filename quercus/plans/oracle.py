@@ -1 +1,7 @@
-SQL = {}
+"""SQL that DuckDB runs on the same tables, for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from quercus.plans import similarity
+
+SQL = {**similarity.SQL}
