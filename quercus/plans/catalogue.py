@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quercus.plans import packed, similarity
+from quercus.plans import clusters, packed, records, similarity
 
-QUERIES = {**packed.QUERIES, **similarity.QUERIES}
+QUERIES = {**packed.QUERIES, **similarity.QUERIES, **records.QUERIES, **clusters.QUERIES}

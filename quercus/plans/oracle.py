@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quercus.plans import similarity
+from quercus.plans import clusters, records, similarity
 
-SQL = {**similarity.SQL}
+SQL = {**similarity.SQL, **records.SQL, **clusters.SQL}
