@@ -1 +1,21 @@
-SQL = {}
+"""Oracles of the subpackage's queries that SQL can express."""
+
+_TERMS = r"""t AS (SELECT zeile_id, modulnummer, lower(unnest(regexp_extract_all(coalesce(modulname, '') || ' ' || coalesce(inhalte, ''), '\p{L}{4,}'))) AS begriff FROM module WHERE_)"""
+
+
+def _weights(name: str, source: str, record: str, term: str) -> str:
+    return f"""{name}_l AS (SELECT {record} AS r, {term} AS t, count(*) AS tf FROM {source} WHERE {record} IS NOT NULL AND {term} IS NOT NULL GROUP BY 1, 2),
+{name}_n AS (SELECT greatest(count(DISTINCT r), 2)::DOUBLE AS n FROM {name}_l),
+{name}_s AS (SELECT t, sum(tf)::BIGINT AS gf, count(*) AS df, sum(tf * ln(tf)) AS p FROM {name}_l GROUP BY t),
+{name} AS (SELECT r, t, tf, gf, df, log2(1 + tf) * (1 - (ln(gf) - p / gf) / ln(n)) AS w FROM {name}_l JOIN {name}_s USING (t), {name}_n)"""
+
+
+SQL = {
+    "p5_found": """WITH RECURSIVE e AS (SELECT key_a AS a, key_b AS b FROM lit_treffer WHERE key_a IS NOT NULL AND key_b IS NOT NULL UNION SELECT key_b, key_a FROM lit_treffer WHERE key_a IS NOT NULL AND key_b IS NOT NULL),
+r AS (SELECT a AS k, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.k) SELECT k AS lit_key, min(m) AS gruppe FROM r GROUP BY k""",
+    "p7_found": f"""WITH {_TERMS.replace("WHERE_", "WHERE herkunft = 'formular'")}, g AS (SELECT begriff FROM t GROUP BY begriff HAVING count(DISTINCT modulnummer) <= 3)
+SELECT DISTINCT 'inhalte' AS feld, modulnummer, begriff FROM (SELECT zeile_id, modulnummer, begriff FROM t GROUP BY ALL HAVING count(*) >= 3) JOIN g USING (begriff) WHERE modulnummer IS NOT NULL
+UNION ALL SELECT DISTINCT 'lit_key', modulnummer, lit_key FROM literatur WHERE modulnummer IS NOT NULL AND lit_key IN (SELECT lit_key FROM literatur GROUP BY lit_key HAVING count(DISTINCT modulnummer) = 2)""",
+    "p7_weights": f"""WITH {_TERMS.replace(" WHERE_", "")}, {_weights("a", "t", "zeile_id", "begriff")}, {_weights("b", "literatur", "modulnummer", "lit_key")}
+SELECT 'text' AS feld, r::VARCHAR AS satz, t AS begriff, tf, gf, df, round(w, 6) AS gewicht FROM a UNION ALL SELECT 'lit_key', r, t, tf, gf, df, round(w, 6) FROM b""",
+}
