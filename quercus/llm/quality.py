@@ -147,7 +147,7 @@ def kind_of(c: dict[str, int]) -> str | None:
     words, lines = max(1, c["woerter"]), max(1, c["zeilen"])
     letters, common = c["buchstaben"] / visible, c["haeufig"] / words
     columns = max(c["tab"], c["strich"], c["semikolon"], c["zitat"], c["spalten"], c["komma"]) / lines
-    if c["zeilen"] >= 3 and columns >= 0.6 and common < 0.1 and c["wortzeichen"] / words > 2.5 and letters > 0.3:
+    if c["zeilen"] >= 3 and columns >= 0.6 and common < 0.1 and c["wortzeichen"] / words > 1.7 and letters > 0.3:
         return "tabelle"
     if letters < 0.55 or c["vokale"] < 0.2 * c["buchstaben"] or c["wortzeichen"] / words > 25 or c["wortzeichen"] / words < 2.6:
         return "schrott"
