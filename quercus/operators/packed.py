@@ -164,7 +164,9 @@ class Codes:
             return self.c.get((field, k, s), 0) / self.n.get((field, k), 1)
 
         p = 0.75 * share(kind, long) + 0.25 * share(kind + "1", short)
-        return min(UNSEEN, -log2(p)) if p > 0 else UNSEEN
+        # what few cells have not shown is no news: it costs little more than the rarest thing they have
+        unseen = min(UNSEEN, 5.0 + log2(self.n.get((field, kind), 0) + 1))
+        return min(unseen, -log2(p)) if p > 0 else unseen
 
     def residue(self, field: str, sign: str) -> float:
         """Bits of a sign left inside a value: by how often it stands among the words of cells separated by others."""

@@ -238,5 +238,5 @@ SQL = {
     "evidence_pairs": _ALL + "SELECT a, b, gemeinsam FROM scored WHERE gesamt >= 1.0 OR inhalte_z >= 1.5 OR kompetenzen_z >= 1.5 OR gemeinsam > 0",
     "point_alignment": f"WITH {_POINTS}, best AS (SELECT q.vec_id, q.label AS la, p.label AS lb, max(list_dot_product(q.v, p.v)) AS s FROM q JOIN p ON q.label <> p.label GROUP BY 1, 2, 3), side AS (SELECT la, lb, avg(s) AS m FROM best GROUP BY 1, 2) SELECT x.la AS a, x.lb AS b, round((x.m + y.m) / 2, 5) AS wert FROM side x JOIN side y ON x.la = y.lb AND x.lb = y.la WHERE x.la < x.lb",
     "greedy_matches": f"WITH {_POINTS}, {_GREEDY} SELECT a, b, rang::BIGINT AS rang, s, x, y FROM g",
-    "match_texts": f"WITH {_POINTS}, {_GREEDY} SELECT a, b, x, y FROM g WHERE s > -0.005",
+    "match_texts": f"WITH {_POINTS}, {_GREEDY} SELECT a, b, x, y FROM g WHERE s >= 0",
 }
