@@ -159,20 +159,20 @@ def first_year(text: Column) -> Column:
     return F.regexp_extract(text, r"\b((?:19|20)\d\d)\b", 1)
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table, in the JVM."""
-    xs, ys = F.split(a, ""), F.split(b, "")
-    start = F.transform(F.concat(F.array(F.lit("")), ys), lambda _: F.lit(0))
-
-    def row(previous: Column, x: Column) -> Column:
-        cells = F.transform(ys, lambda y, i: F.struct(F.element_at(previous, i + 1).alias("corner"), F.element_at(previous, i + 2).alias("above"), (x == y).alias("same")))
-        step = lambda acc, c: F.concat(acc, F.array(F.when(c["same"], c["corner"] + 1).otherwise(F.greatest(c["above"], F.element_at(acc, -1)))))
-        return F.aggregate(cells, F.array(F.lit(0)), step)
-
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(xs, start, row), -1))
-
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * LCS / (len a + len b): similarity by insertions and losses only."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common_subsequence(a, b) / total)
+def subsequence_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the usual table as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """200 * LCS / (len a + len b): similarity by insertions and losses only, in Arrow batches."""
+    return pd.Series([None if x is None or y is None else 200.0 * subsequence_length(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b)], dtype="float64")

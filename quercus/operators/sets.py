@@ -32,11 +32,17 @@ def shared_items(items: DataFrame, entity: str, item: str) -> DataFrame:
 def idf_dice(pairs: DataFrame, items: DataFrame, entity: str, item: str) -> DataFrame:
     """``a, b, dice, gemeinsam``: twice the rarity shared over the rarity of both sets.
 
-    0 where both have items and share none, null where either has none.
+    0 where both have items and share none, null where either has none. For entities of a
+    bounded number: an item's owners are a list of at most that many.
     """
     idf = item_idf(items, entity, item)
     sets = items.select(entity, item).distinct().join(idf, item).groupBy(entity).agg(F.sum("idf").alias("w"))
-    shared = shared_items(items, entity, item).groupBy("a", "b").agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("n"))
+    # items that the same entities have count alike: their number is bounded by the sets of entities, not by the items
+    owners = items.select(entity, item).distinct().groupBy(item).agg(F.sort_array(F.collect_list(entity)).alias("es"))
+    owners = owners.join(idf, item).groupBy("es").agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("n")).where(F.size("es") > 1)
+    left_ = owners.select("es", "s", "n", F.posexplode("es").alias("i", "a"))
+    each = left_.select("a", "s", "n", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b"))
+    shared = each.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     left = sets.select(F.col(entity).alias("a"), F.col("w").alias("wa"))
     right = sets.select(F.col(entity).alias("b"), F.col("w").alias("wb"))
     out = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").join(shared, ["a", "b"], "left")

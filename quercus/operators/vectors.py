@@ -24,21 +24,22 @@ def cosine(a, b):
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def term_rows(texts: DataFrame, entity: str, text: str, stops: set[str] = STOPS, least: int = 2) -> DataFrame:
-    """``entity, term`` for every unigram and bigram, stop words taken out before bigrams are made."""
+def term_rows(texts: DataFrame, entity: str, text: str, stops: set[str] = STOPS, least: int = 2, *others: str) -> DataFrame:
+    """``entity, others, term`` for every unigram and bigram, stop words taken out before bigrams are made."""
     kept = F.filter(words(F.col(text), least), lambda w: ~w.isin(sorted(stops)))
-    seq = texts.select(entity, kept.alias("w"))
+    seq = texts.select(entity, *others, kept.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    return seq.select(entity, F.explode(F.concat("w", pairs)).alias("term"))
+    return seq.select(entity, *others, F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def tfidf(terms: DataFrame, entity: str, min_df: int = 2, max_df: float = 0.5) -> DataFrame:
+def tfidf(terms: DataFrame, entity: str, min_df: int = 2, max_df: float = 0.5, times: str | None = None) -> DataFrame:
     """``entity, term, df, gewicht``: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each entity of length 1.
 
-    n counts entities with any term. Three aggregations, all combined map-side.
+    n counts entities with any term; ``times`` is a column that says how often a row counts.
+    Three aggregations, all combined map-side.
     """
-    tf = terms.groupBy(entity, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = terms.agg(F.count_distinct(entity).alias("_n"))
+    tf = terms.groupBy(entity, "term").agg((F.sum(times) if times else F.count(F.lit(1))).alias("tf"))
+    n = tf.agg(F.count_distinct(entity).alias("_n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
     raw = tf.join(df, "term").select(entity, "term", "df", ((F.log("tf") + 1.0) * (F.log((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0)).alias("w"))
     norm = raw.groupBy(entity).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

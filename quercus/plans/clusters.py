@@ -10,7 +10,7 @@ from quercus.operators import cluster as C
 from quercus.operators import pairs as P
 from quercus.operators import sets as S
 from quercus.operators import vectors as V
-from quercus.plans.similarity import CONFIG, items, name_terms, nation_lines, scored
+from quercus.plans.similarity import CONFIG, items, nation_lines, scored, term_weights
 from quercus.session import cut_lineage, read
 from quercus.sources.tables import slots
 
@@ -53,7 +53,7 @@ def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def terms_of(spark: SparkSession, folder: str) -> DataFrame:
-    w = V.tfidf(name_terms(spark, folder), "n", 2, 1.0)
+    w = term_weights(spark, folder)
     return V.top_terms(w.withColumn("gewicht", F.round("gewicht", 9)), "n", CONFIG.label_terms).select(F.col("n").alias("id"), "term", "gewicht")
 
 

@@ -71,13 +71,18 @@ def brand_cosine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """``n, times, term``: parts of one text are counted before the text is taken apart."""
     parts = read(spark, folder, "part").select(F.col("p_partkey").alias("i"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    counted = V.term_rows(parts, "i", "text")
-    return items(spark, folder).join(counted, "i").select("n", "term")
+    texts = items(spark, folder).join(parts, "i").groupBy("n", "text").agg(F.count(F.lit(1)).alias("times"))
+    return V.term_rows(texts, "n", "text", V.STOPS, 2, "times")
+
+
+def term_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return V.tfidf(name_terms(spark, folder), "n", 2, 1.0, "times")
 
 
 def terms_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return V.tfidf_cosine(V.tfidf(name_terms(spark, folder), "n", 2, 1.0), "n")
+    return V.tfidf_cosine(term_weights(spark, folder), "n")
 
 
 def nation_term_cosine(spark: SparkSession, folder: str) -> DataFrame:
