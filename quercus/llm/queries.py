@@ -65,7 +65,7 @@ def _module_points(spark: SparkSession, folder: str) -> DataFrame:
         unpack(typed, "zeile_id", ["inhalte"], least=1).select("zeile_id", F.col("wert").alias("t")),
         repair(scanned, "zeile_id", ["inhalte", "fachkompetenz"], clean, "t")[1].select("zeile_id", F.col("text").alias("t")),
         visible_text(web, "zeile_id", "inhalte").select("zeile_id", F.col("inhalte").alias("t")),
-        module.where("herkunft <> 'scan'").select("zeile_id", F.col("fachkompetenz").alias("t")),
+        module.where("coalesce(herkunft, '') <> 'scan'").select("zeile_id", F.col("fachkompetenz").alias("t")),
         module.select("zeile_id", F.col("methodenkompetenz").alias("t")),
         module.where("coalesce(herkunft, '') not in ('formular', 'scan', 'web')").select("zeile_id", F.col("inhalte").alias("t")),
     ]
