@@ -24,8 +24,11 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def clean_text(text: Column) -> Column:
     """Bullets unified, exotic blanks plain, soft hyphens and hooks gone, lines collapsed and
-    trimmed, bare bullets and empty lines dropped. Null stays null."""
-    x = F.regexp_replace(text, r"[­​﻿]", "")
+    trimmed, bare bullets and empty lines dropped. Null stays null. See ``nfc`` for composition."""
+    x = text
+    for vowel, umlaut in zip("aouAOU", "äöüÄÖÜ"):  # a dieresis that was left beside its vowel
+        x = F.replace(x, F.lit(vowel + "¨"), F.lit(umlaut))
+    x = F.regexp_replace(x, r"[­​﻿]", "")
     x = F.regexp_replace(x, r"¬\s*", "")
     x = F.regexp_replace(x, "\r\n?", "\n")
     x = F.regexp_replace(x, r"[  -   　\t]", " ")

@@ -52,6 +52,12 @@ def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("nr", "cluster", "groesse", F.round("mittel", 5).alias("mittel"), F.round("perzentil", 3).alias("perzentil"), level(F.col("perzentil"), CONFIG.levels).alias("stufe"), "name")
 
 
+def cluster_header(spark: SparkSession, folder: str) -> DataFrame:
+    """How many clusters hold several nations, how many nations those are, how many are very similar."""
+    several = F.col("groesse") > 1
+    return cluster_summary(spark, folder).agg(F.count_if(several).alias("gruppen"), F.coalesce(F.sum(F.when(several, F.col("groesse"))), F.lit(0)).alias("mitglieder"), F.count_if(several & (F.col("perzentil") >= 96)).alias("aehnlich"))
+
+
 def terms_of(spark: SparkSession, folder: str) -> DataFrame:
     w = term_weights(spark, folder)
     return V.top_terms(w.withColumn("gewicht", F.round("gewicht", 9)), "n", CONFIG.label_terms).select(F.col("n").alias("id"), "term", "gewicht")
@@ -130,7 +136,7 @@ def evidence_json(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (capped_linkage, leaf_order, cluster_cut, cluster_summary, cluster_terms, cluster_shared_items, spanning_edges, region_tree, programme_mix, cluster_participants, map_2d, export_slots, nation_json, evidence_json)
+    for f in (capped_linkage, leaf_order, cluster_cut, cluster_summary, cluster_header, cluster_terms, cluster_shared_items, spanning_edges, region_tree, programme_mix, cluster_participants, map_2d, export_slots, nation_json, evidence_json)
 }
 
 SQL = {

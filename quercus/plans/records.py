@@ -284,6 +284,13 @@ SQL = {
  g AS (SELECT code, coalesce(sum(CASE WHEN art = 'h' AND jahr = '23/24' THEN {_NUM.format('c')} END), 0)::BIGINT AS jahr_1, coalesce(sum(CASE WHEN art = 'h' AND jahr = '24/25' THEN {_NUM.format('c')} END), 0)::BIGINT AS jahr_2, coalesce(sum(CASE WHEN art = 'h' AND jahr = '25/26' THEN {_NUM.format('c')} END), 0)::BIGINT AS jahr_3,
  count(*) FILTER (art = 'h') AS durchf, count(*) FILTER (art = 'x') AS abgesagt, max(CASE WHEN aktiv THEN m END) AS max_tn FROM k GROUP BY code)
  SELECT *, round((jahr_1 + jahr_2 + jahr_3) / 3.0::DOUBLE, 6) AS je_jahr, round((jahr_1 + jahr_2 + jahr_3)::DOUBLE / nullif(durchf, 0), 6) AS je_durchf, round((jahr_1 + jahr_2 + jahr_3)::DOUBLE / nullif(durchf, 0) / nullif(max_tn, 0), 6) AS quote FROM g""",
+    "clean_text": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(text, 'a¨', 'ä'), 'o¨', 'ö'), 'u¨', 'ü'), 'A¨', 'Ä'), 'O¨', 'Ö'), 'U¨', 'Ü'), '[\x{00ad}\x{200b}\x{feff}]', '', 'g'), '¬\s*', '', 'g'), '\r\n?', chr(10), 'g'), '[\x{00a0}\x{2000}-\x{200a}\x{202f}\x{3000}\t]', ' ', 'g'), '\[\*\]', chr(10) || '• ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, t, list_transform(string_split(t, chr(10)), lambda s: regexp_replace(trim(regexp_replace(s, ' +', ' ', 'g')), '^(?:[-–•▪*?] ?)([^\s])', '- \1')) AS l FROM a)
+SELECT doc_id, CASE WHEN t IS NULL THEN NULL ELSE array_to_string(list_filter(l, lambda s: NOT regexp_matches(s, '^[-–•▪*?]?$')), chr(10)) END AS text FROM b""",
+    "broken_words": rf"""WITH b AS (SELECT unnest(regexp_extract_all(fachkompetenz, '\p{{L}}{{2,}}- \p{{Ll}}{{2,}}')) AS b FROM module),
+p AS (SELECT regexp_extract(b, '(\p{{L}}+)- (\p{{L}}+)', 1) AS links, regexp_extract(b, '(\p{{L}}+)- (\p{{L}}+)', 2) AS rechts, count(*) AS anzahl FROM b GROUP BY 1, 2),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(t), '\p{{L}}{{2,}}')) AS w FROM (SELECT unnest([inhalte, fachkompetenz]) AS t FROM module))
+SELECT links, rechts, anzahl, links || rechts AS wort FROM p WHERE rechts NOT IN ({', '.join(f"'{c}'" for c in L.CONJUNCTIONS)}) AND (lower(links || rechts) IN (SELECT w FROM v) OR rechts NOT IN (SELECT w FROM v))""",
     "utilisation_missing": "SELECT DISTINCT modulnummer FROM module WHERE modulnummer IS NOT NULL AND modulnummer NOT IN (SELECT trim(modulcode) FROM auslastung WHERE modulcode IS NOT NULL)",
 }
 SQL["module_utilisation"] = f"SELECT modulnummer, durchf, abgesagt FROM ({SQL['utilisation']}) u JOIN (SELECT DISTINCT modulnummer FROM module) m ON m.modulnummer = u.code"

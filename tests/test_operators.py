@@ -1,4 +1,4 @@
-"""Operators against brute force and the worked examples of the reference's documentation."""
+"""Operators against brute force and worked examples."""
 
 import itertools
 import math
