@@ -24,6 +24,8 @@ CHAR, UNSEEN, VALUE = 4.5, 18.0, 1.0
 RESIDUE = 14.0
 #: Signs that also occur as text: their bits are learned from the cells that another sign separates.
 LEARNED = ";,/+"
+#: The learned bits of ; / and + are no fewer: mixed cells, where these part values, blur their count.
+LEAST_RESIDUE = 7.0
 CONTINUED = re.compile(r"\r?\n(?=(?:  |\t)\s*[^\s\-–—•▪·*])")
 STRUCTURE = re.compile(r"\n|\t|\||•|▪|;|\[\*\]|,(?= )|(?<= )[/+](?= )")
 STRONG = re.compile(r"\n|\t|\||•|▪|\[\*\]")
@@ -47,7 +49,7 @@ DIALECTS: dict[str, tuple[re.Pattern | None, float]] = {
     "1.": (re.compile(r"(?:^|(?<=\s))(\d{1,3})\.(?=\s)"), 4.0),
     "1)": (re.compile(r"(?:^|(?<=\s))(\d{1,3})\)(?=\s)"), 4.0),
     "a)": (re.compile(r"(?:^|(?<=\s))\(?([a-z])\)(?=\s)"), 4.0),
-    "any": (re.compile(r"(?:\r\n|\r|\n)(?!(?:  |\t)\s*[^\s\-–—•▪·*])|;|\|{1,2}|\t"), 12.0),
+    "any": (re.compile(r"(?:\r\n|\r|\n)(?!(?:  |\t)\s*[^\s\-–—•▪·*])|;|\|{1,2}|\t"), 5.0),
 }
 TOKEN = re.compile(r"\w+(?:-\w+)*-?|[^\w\s]")
 
@@ -173,7 +175,7 @@ class Codes:
         if sign not in LEARNED:
             return RESIDUE
         seen, words = self.c.get((field, "r", sign), 0), self.c.get((field, "r", "words"), 0)
-        return min(RESIDUE, -log2((seen + 0.01) / (words + 1)))
+        return min(RESIDUE, max(-log2((seen + 0.01) / (words + 1)), 0.0 if sign == "," else LEAST_RESIDUE))
 
     def length(self, field: str, value: str) -> float:
         return (
