@@ -49,7 +49,7 @@ DIALECTS: dict[str, tuple[re.Pattern | None, float]] = {
     "1.": (re.compile(r"(?:^|(?<=\s))(\d{1,3})\.(?=\s)"), 4.0),
     "1)": (re.compile(r"(?:^|(?<=\s))(\d{1,3})\)(?=\s)"), 4.0),
     "a)": (re.compile(r"(?:^|(?<=\s))\(?([a-z])\)(?=\s)"), 4.0),
-    "any": (re.compile(r"(?:\r\n|\r|\n)(?!(?:  |\t)\s*[^\s\-–—•▪·*])|;|\|{1,2}|\t"), 5.0),
+    "any": (re.compile(r"(?:\r\n|\r|\n)(?!(?:  |\t)\s*[^\s\-–—•▪·*])|;|\|{1,2}|\t"), 4.0),
 }
 TOKEN = re.compile(r"\w+(?:-\w+)*-?|[^\w\s]")
 
@@ -209,7 +209,7 @@ def best_parse(field: str, text: str, codes: Codes) -> tuple[str, list[str]]:
             continue
         seen.add(parts)
         found = [p for p in (priced(a, b) for a, b in parts) if p[0]]
-        cost = named + sum(bits for _, bits in found) + (len(found) * 1.6 if name == "any" else 0)
+        cost = named + sum(bits for _, bits in found) + (len(found) * 0.1 if name == "any" else 0)
         if found and (best is None or cost < best[0]):
             best = (cost, name, [v for v, _ in found])
     return best[1:] if best else ("one", [])
