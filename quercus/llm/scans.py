@@ -143,7 +143,7 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     words = flowed.select("k", "feld", "row", F.explode(F.regexp_extract_all("t", F.lit(token), F.lit(0))).alias("raw"))
     words = words.select("k", "feld", "row", F.col("raw").contains(JOINT).alias("broken"), F.translate("raw", JOINT, "").alias("wort"))
     words = cut_lineage(words.groupBy("k", "feld", "row", "broken", "wort").agg(F.count(F.lit(1)).alias("times")))
-    known = vocabulary(trusted, trusted_text)
+    known = cut_lineage(vocabulary(trusted, trusted_text))
     unknown = words.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.sum("times").alias("times")).join(known, "wort", "left_anti")
     unknown = cut_lineage(unknown.withColumn("s", skeleton(F.col("wort"))))
     right = known.select(skeleton(F.col("wort")).alias("s"), F.col("wort").alias("right"), "n", F.lit(0).alias("own"))
