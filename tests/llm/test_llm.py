@@ -97,6 +97,20 @@ def test_works(spark):
 # ---------------------------------------------------------------- scans
 
 
+def test_works_one_word(spark):
+    cols = "lit_key string, a string, f string, t string, y string, o string"
+    rows = [
+        ("gamirrath_markktverteilung", "Gamirrath, A.", "Gamirrath", "Markktverteilung", "2001", "Ulm"),
+        ("gamirrath_marktverteilung", "Gamirath, A.", "Gamirath", "Marktverteilung", "2001", "Ulm"),
+        ("gamirrath_talentberatung", "Gamirrath, A.", "Gamirrath", "Talentberatung", None, "Ulm"),
+        ("gamirrath_talentbratung", "Gamirrath, A.", "Gamirrath", "Talentbratung", "2001", "Ulm"),
+        ("feld_talentberatung", "Feld, C.", "Feld", "Talentberatung", "2001", "Ulm"),
+    ]
+    groups = N.work_groups(spark.createDataFrame(rows, cols), "lit_key", "a", "f", "t", "y", "o")
+    got = {(r.name_a, r.name_b) for r in N.variant_pairs(groups).collect()}
+    assert got == {("gamirrath_markktverteilung", "gamirrath_marktverteilung"), ("gamirrath_talentberatung", "gamirrath_talentbratung")}
+
+
 def test_confusions():
     assert _convertible("Grundlagen", "Grnndla9en") == 2 and _convertible("Normen", "Norrnen") == 1 and _convertible("Rahmen", "Ralimen") == 1
     assert _convertible("Haus", "Maus") == -1 and _convertible("Haus", "Haus") == 0
