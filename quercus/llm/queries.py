@@ -52,18 +52,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _module_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Points and sentences of the modules' three fields, each row cleaned after its herkunft."""
+    """Points and sentences of the modules' three fields, each row cleaned after its herkunft.
+
+    A lettered page line is known by three fields that have it: of scanned rows literatur is
+    repaired as well, and dropped afterwards.
+    """
     from quercus.llm.markup import visible_text
     from quercus.llm.scans import repair
     from quercus.llm.spectral import point_tokens
     from quercus.operators.packed import unpack
 
-    module = read(spark, folder, "module").select("zeile_id", "herkunft", "inhalte", "fachkompetenz", "methodenkompetenz")
+    module = read(spark, folder, "module").select("zeile_id", "herkunft", "inhalte", "fachkompetenz", "methodenkompetenz", "literatur")
     typed, scanned, web = (module.where(F.col("herkunft") == h) for h in ("formular", "scan", "web"))
     clean = module.where("herkunft <> 'scan'").select(F.explode(F.array("inhalte", "fachkompetenz", "methodenkompetenz")).alias("t"))
     texts = [
         unpack(typed, "zeile_id", ["inhalte"], least=1).select("zeile_id", F.col("wert").alias("t")),
-        repair(scanned, "zeile_id", ["inhalte", "fachkompetenz"], clean, "t")[1].select("zeile_id", F.col("text").alias("t")),
+        repair(scanned, "zeile_id", ["inhalte", "fachkompetenz", "literatur"], clean, "t")[1].where("feld <> 'literatur'").select("zeile_id", F.col("text").alias("t")),
         visible_text(web, "zeile_id", "inhalte").select("zeile_id", F.col("inhalte").alias("t")),
         module.where("coalesce(herkunft, '') <> 'scan'").select("zeile_id", F.col("fachkompetenz").alias("t")),
         module.select("zeile_id", F.col("methodenkompetenz").alias("t")),

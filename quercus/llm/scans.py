@@ -60,9 +60,9 @@ def page_masks(lines: DataFrame) -> DataFrame:
     """``mask`` of the lines that belong to pages.
 
     Running text belongs to one field, a page line comes into all of them: a mask is one
-    of page lines when at least three cells of different fields have it, the fields with
-    a line like it being at least three, or two when each has a twentieth of the other's
-    rate; a mask of numbers and signs only is one wherever it stands, save for a year.
+    of page lines when at least three cells have it, the fields with a line like it being
+    at least three, each with more than a fifth of any other's rate, so of one or two fields
+    none with letters is found; a mask of numbers and signs only is one wherever it stands, save for a year.
     """
     by_field = lines.groupBy("mask", "feld").agg(F.count_distinct("row").alias("n"))
     size = lines.groupBy("feld").agg(F.count_distinct("row").alias("cells"))

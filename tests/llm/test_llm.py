@@ -16,7 +16,7 @@ from quercus.llm import tokenise as T
 from quercus.llm.components import hash_to_min
 from quercus.llm.distinctive import log_entropy
 from quercus.llm.mixing import fair_mix, shares
-from quercus.llm.queries import QUERIES
+from quercus.llm.queries import QUERIES, _module_points
 from quercus.llm.scans import _convertible, repair
 from quercus.llm.spectral import point_tokens, spectral_clusters
 from quercus.llm.sql import SQL
@@ -136,6 +136,16 @@ def test_scans(spark):
     assert none[0].count() == 0 and none[1].count() == 0
 
 
+def test_scans_in_points(spark, tmp_path):
+    page = "Handbuch Wirtschaft\n"
+    rows = [(i, "scan", page + f"Grundlagen der Kosten Nummer {'abcdefgh'[i]}", page + "Sie kennen die Preise", "", page + "Berg: Recht") for i in range(8)]
+    cols = "zeile_id long, herkunft string, inhalte string, fachkompetenz string, methodenkompetenz string, literatur string"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "module.parquet"))
+    got = {(r.k, r.t) for r in _module_points(spark, str(tmp_path)).withColumnRenamed("zeile_id", "k").collect()}
+    want = [(i, t) for i in range(8) for t in (f"Grundlagen der Kosten Nummer {'abcdefgh'[i]}", "Sie kennen die Preise")]
+    assert got == {(r.k, r.t) for r in point_tokens(spark.createDataFrame(want, "id long, t string"), "id", "t").collect()}
+
+
 # ---------------------------------------------------------------- markup
 
 
