@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.llm.components import hash_to_min
@@ -37,10 +39,12 @@ def affinities(tokens: DataFrame, overlap: float = 0.4) -> tuple[DataFrame, Data
     sentences that stand everywhere count little, and what is shared must weigh at least
     1.5 ln N, more than any few of these do.
 
-    Candidates: every point links the records that have it with one of them, the one with
-    the smallest hash of point and record. That is one candidate per record and point
-    however many records share it, never all pairs of a group, and as each of a family's
-    many points has another such leader, its members are compared with most others.
+    Candidates: the points of a record are ordered from the rarest on. Whatever two records
+    share, its first point has all the rest behind it, so it lies where that point and those
+    behind it weigh at least what must be shared: ``overlap`` of the lighter one's weight and
+    1.5 ln N for the lighter, 1.5 ln N for the heavier. Records are compared when such heads
+    have a point in common, which misses no pair. Points that stand everywhere are at the
+    end of the order and hardly ever in a head; a family of alike records costs its pairs.
     """
     sets = tokens.groupBy("k").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     sets = cut_lineage(sets.withColumn("h", F.xxhash64("ts", F.size("ts"))))
@@ -49,15 +53,20 @@ def affinities(tokens: DataFrame, overlap: float = 0.4) -> tuple[DataFrame, Data
     reps = cut_lineage(reps)
     flat = reps.select("rep", F.explode("ts").alias("t"))
     n = reps.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).cast("double").alias("n"))
-    leaders = flat.groupBy("t").agg(F.min(F.struct(F.xxhash64("t", "rep").alias("h"), F.col("rep").alias("lead"))).alias("l"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    leaders = leaders.select("t", F.col("l.lead").alias("lead"), "df")
-    shared = cut_lineage(flat.join(leaders, "t").crossJoin(F.broadcast(n)).select("rep", "t", "lead", F.log(F.col("n") / F.col("df")).alias("w"), F.log("n").alias("top")))
-    candidates = shared.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    common_points = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = cut_lineage(flat.join(common_points, "t").crossJoin(F.broadcast(n)).select("rep", "t", "df", F.log(F.col("n") / F.col("df")).alias("w"), F.log("n").alias("top")))
     # what only one record has weighs ln N
     weights = shared.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("m"), F.max("top").alias("top"))
     weights = weights.join(reps.select("rep", F.size("ts").alias("size")), "rep")
     total = F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x) + (F.col("size") - F.size("m")) * F.col("top")
     weights = cut_lineage(weights.select("rep", "m", total.alias("total"), "top"))
+    # a hair less, as sums of doubles differ in their last digits
+    behind = Window.partitionBy("rep").orderBy("df", "t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    heads = shared.withColumn("rest", F.sum("w").over(behind) + 1e-6).where(F.col("rest") >= 1.5 * F.col("top")).join(weights.select("rep", "total"), "rep")
+    heads = cut_lineage(heads.select("rep", "t", "total", (F.col("rest") >= overlap * F.col("total")).alias("light")))
+    light = heads.where("light").select("t", F.col("rep").alias("x"), F.struct("total", "rep").alias("ox"))
+    heavy = heads.select("t", F.col("rep").alias("y"), F.struct("total", "rep").alias("oy"))
+    candidates = light.join(heavy, "t").where("ox < oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = weights.select(F.col("rep").alias("a"), F.col("m").alias("ma"), F.col("total").alias("ta"), "top")
     right = weights.select(F.col("rep").alias("b"), F.map_keys("m").alias("kb"), F.col("total").alias("tb"))
     both = candidates.join(left, "a").join(right, "b")
@@ -99,23 +108,26 @@ def embed_and_split(edges: DataFrame, splits: int = 4) -> DataFrame:
     The eigenvectors of the walk are constant on components, so centres of one component
     are never near to members of another, and members meet only their component's
     centres. k-means starts with one centre a component - its mean - and adds a centre,
-    at the member farthest away, wherever a cluster is wider than RADIUS, up to
-    ``splits`` times; then members go to the nearest centre and centres to their means.
+    at the member farthest away, wherever a cluster is wider than RADIUS; then members go
+    to the nearest centre and centres to their means. After ``splits`` rounds members stay
+    in their cluster and choose between its two centres only: both keep a member, as a mean
+    is never beyond the middle of all of them, so it ends, when no cluster is too wide.
     """
     names = [f"x{i}" for i in range(VECTORS)]
     x = power_iteration(edges).join(hash_to_min(edges, "a", "b").select(F.col("key").alias("v"), F.col("gruppe").alias("part")), "v")
-    x = cut_lineage(x.withColumn("c", F.col("part")))
-    for _ in range(splits):
+    x = cut_lineage(x.withColumn("c", F.col("part").cast("string")))
+    for done in count():
         centres = x.groupBy("part", "c").agg(*[F.avg(n).alias(f"c{n}") for n in names])
         spread = sum((F.col(n) - F.col(f"c{n}")) ** 2 for n in names)
         far = x.join(centres, ["part", "c"]).select("*", F.sqrt(spread).alias("r")).groupBy("part", "c").agg(F.max(F.struct("r", "v", *names)).alias("f")).where(F.col("f.r") > RADIUS)
-        far = cut_lineage(far.select("part", F.col("f.v").alias("c"), *[F.col(f"f.{n}").alias(f"c{n}") for n in names]))
+        far = cut_lineage(far.select("part", F.col("c").alias("of"), F.concat_ws(".", F.col("f.v").cast("string"), F.lit(done)).alias("c"), *[F.col(f"f.{n}").alias(f"c{n}") for n in names]))
         if far.isEmpty():
             break
-        all_centres = centres.unionByName(far)
-        near = x.drop("c").join(all_centres, "part").groupBy("v").agg(F.min(F.struct(spread.alias("r"), "c")).alias("n")).select("v", F.col("n.c").alias("c"))
+        all_centres = centres.withColumn("of", F.col("c")).unionByName(far)
+        meets = x.drop("c").join(all_centres, "part") if done < splits else x.withColumnRenamed("c", "of").join(all_centres, ["part", "of"])
+        near = meets.groupBy("v").agg(F.min(F.struct(spread.alias("r"), "c")).alias("n")).select("v", F.col("n.c").alias("c"))
         x = cut_lineage(x.drop("c").join(near, "v"))
-    return x.select("v", F.concat_ws(" ", F.col("part").cast("string"), F.col("c").cast("string")).alias("cluster"))
+    return x.select("v", F.concat_ws(" ", F.col("part").cast("string"), "c").alias("cluster"))
 
 
 def spectral_clusters(tokens: DataFrame) -> DataFrame:
@@ -123,7 +135,8 @@ def spectral_clusters(tokens: DataFrame) -> DataFrame:
 
     ``tokens`` (k, t) has the points of the records. gruppe is the smallest record of the
     cluster, groesse its number of records, rang the order by internal affinity (the sum
-    of a record's affinities inside its cluster; ties by k), from 1 for the most typical.
+    of a record's affinities to all others of its cluster, those with the same points
+    having 1; ties by k), from 1 for the most typical.
 
     Records with the same points are one vertex and share its cluster; a vertex without
     edges is a cluster if it stands for several records. Ranks are counted by cluster: the
@@ -132,13 +145,15 @@ def spectral_clusters(tokens: DataFrame) -> DataFrame:
     Defined cases: records without points are in no cluster; null tokens and keys are
     ignored; repeated rows of ``tokens`` count once; an empty table gives no rows.
     """
-    from pyspark.sql import Window
-
     members, edges = affinities(tokens.where("k is not null and t is not null").distinct())
     edges = cut_lineage(edges)
     clusters = cut_lineage(embed_and_split(edges))
     inside = edges.join(clusters.select(F.col("v").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("v").alias("b"), F.col("cluster").alias("cb")), "b").where("ca = cb")
-    affinity = inside.select(F.explode(F.array("a", "b")).alias("rep"), "w").groupBy("rep").agg(F.sum("w").alias("inner"))
+    # a vertex counts for every record that it stands for
+    times = members.groupBy("rep").agg(F.count(F.lit(1)).alias("times"))
+    ends = inside.select("a", "b", "w").unionByName(inside.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    affinity = ends.join(times.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum(F.col("w") * F.col("times")).alias("inner"))
+    affinity = times.join(affinity, "rep", "left").select("rep", F.round(F.coalesce("inner", F.lit(0.0)) + F.col("times") - 1, 9).alias("inner"))
     rows = members.join(clusters.withColumnRenamed("v", "rep"), "rep", "left").join(affinity, "rep", "left")
     rows = cut_lineage(rows.select("k", F.coalesce("cluster", F.concat(F.lit("="), F.col("rep").cast("string"))).alias("cluster"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
     groups = rows.groupBy("cluster").agg(F.min("k").alias("gruppe"), F.count(F.lit(1)).alias("groesse")).where("groesse > 1")

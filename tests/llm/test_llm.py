@@ -18,7 +18,7 @@ from quercus.llm.distinctive import log_entropy
 from quercus.llm.mixing import fair_mix, shares
 from quercus.llm.queries import QUERIES, _module_points
 from quercus.llm.scans import _convertible, repair
-from quercus.llm.spectral import point_tokens, spectral_clusters
+from quercus.llm.spectral import affinities, embed_and_split, point_tokens, spectral_clusters
 from quercus.llm.sql import SQL
 from tests.oracle import compare, connect
 
@@ -239,6 +239,30 @@ def test_spectral(spark):
     assert {k for k, r in got.items() if r.rang == 1} and spectral_clusters(tokens.limit(0)).count() == 0
 
 
+def test_affinities_whole(spark):
+    rng = random.Random(7)
+    sets = {i: {1000 * (i // 15) + rng.randrange(40) for _ in range(25)} | {9000 + rng.randrange(30) for _ in range(3)} for i in range(90)}
+    tokens = spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts], "k long, t long")
+    df = Counter(t for ts in sets.values() for t in ts)
+    n = math.log(len(sets))
+    weigh = lambda ts: sum(n - math.log(df[t]) for t in ts)
+    want = {}
+    for a in sets:
+        for b in range(a + 1, 90):
+            common, least = weigh(sets[a] & sets[b]), min(weigh(sets[a]), weigh(sets[b]))
+            if common >= 0.4 * least and common >= 1.5 * n:
+                want[a, b] = common / least
+    got = {(r.a, r.b): r.w for r in affinities(tokens)[1].collect()}
+    assert len(want) > 300 and got.keys() == want.keys() and all(abs(got[p] - w) < 1e-9 for p, w in want.items())
+
+
+def test_split_to_the_end(spark, monkeypatch):
+    # a chain of 20: one component, far more clusters than four rounds make
+    monkeypatch.setattr("quercus.llm.spectral.RADIUS", 0.0)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(19)], "a long, b long, w double")
+    assert embed_and_split(edges).select("cluster").distinct().count() == 20
+
+
 # ---------------------------------------------------------------- distinctive terms
 
 
