@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,131 +13,253 @@ from pyspark.sql import functions as F
 
 from quercus.session import cut_lineage, spread
 
-#: Characters of a chunk, and of the text before and after it that a chunk also sees: a word
-#: belongs to the chunk in which it starts and is read to its end up to this many characters.
-CHUNK, CONTEXT = 65_536, 64
+#: Characters of a chunk, about: it ends before a word, or inside a run without white space.
+CHUNK = 65_536
 #: Chunk states merged by one task in one level of the tree.
 FAN = 64
+#: Characters before and after a chunk that its signs may look at; first characters kept of a line, of a word.
+BEHIND, AHEAD, FIRST = 3, 2, 16
 
 # The most common words of German and English running text.
 COMMON = set(
     "der die das und in zu den mit von für auf ist im dem nicht ein eine des als auch an werden aus sind sie wird bei nach zur zum über oder sich es "
     "the of and to a in is that for on as with are be by this it from an or we not at which their each when have has its".split()
 )
+CASED = COMMON | {w.capitalize() for w in COMMON} | {w.upper() for w in COMMON}
 WORD = re.compile(r"\w+")
-START = re.compile(r"\s*(?:[-–—•▪·*+◦‣●]\s*(?=\S)|\[[ xX]?\]\s*(?=\S)|\[\d{1,3}\]\s|\(?\d{1,3}[.)]\s|\(?[a-z]\)\s)")
-INLINE = re.compile(r"(?:^|(?<=\s))[•▪·◦‣●](?=\s)")
-SENTENCE = re.compile(r"(?<=[a-zäöüß0-9)])[.!?](?=\s+[A-ZÄÖÜ„\"(])|(?<=\w\w\w)[.!?](?=[^\S\r\n]*(?:[\r\n]|\Z))")
-COLUMN = re.compile(r"(?<=\S)(?: {2,}|\t)(?=\S)")
-TIGHT = re.compile(r",(?=\S)")
-#: Signs counted by line; a match belongs to the chunk and the line in which it starts.
-SIGNS = {"saetze": SENTENCE, "einzeilig": INLINE, "tab": re.compile("\t"), "strich": re.compile(r"\|"), "semikolon": re.compile(";"), "zitat": re.compile('","'), "spalten": COLUMN, "komma": TIGHT}
+#: A list mark at the start of a line, white space as it stands or as one blank.
+START = re.compile(r"[-–—•▪·*+◦‣●]\s*(?=\S)|\[(?:\s*|[xX])\]\s*(?=\S)|\[\d{1,3}\]\s|\(?\d{1,3}[.)]\s|\(?[a-z]\)\s")
+INLINE = re.compile(r"[•▪·◦‣●](?:(?<=\s.)|(?<=^.))(?=\s)")
+SENTENCE = re.compile(r"[.!?](?:(?<=[a-zäöüß0-9)].)(?=\s+[A-ZÄÖÜ„\"(])|(?<=\w\w\w.)(?=[^\S\r\n]*(?:[\r\n]|\Z)))")
+#: Signs counted by line. Whether one stands at a place is seen from at most BEHIND characters before it and AHEAD after it.
+SIGNS = {"tab": re.compile("\t"), "strich": re.compile(r"\|"), "semikolon": re.compile(";"), "zitat": re.compile('"(?=,")'), "spalten": re.compile(r"(?<=\S)(?: {2,}|\t)(?=\S)"), "komma": re.compile(r",(?=\S)")}
+HINTS = {"tab": "\t", "strich": "|", "semikolon": ";", "zitat": '","', "spalten": "  ", "komma": ","}
+#: How many of a sign a line needs to count as one of cells.
+LEAST = {"tab": 1, "strich": 2, "semikolon": 2, "zitat": 1, "spalten": 1, "komma": 2}
 BREAK = re.compile("\r\n|\n|\r|\u2028|\x85")
-VOWELS = frozenset("aeiouyäöüAEIOUYÄÖÜáàâéèêëíìîïóòôúùûœæøå")
+SEEN = re.compile(r"\S")
+#: Signs of words that are no letters.
+PLAIN = re.compile("[\\d_²³¹¼-¾⁰-₉⅐-↏①-⓿]")
+VOWELS = "aeiouyäöüAEIOUYÄÖÜáàâéèêëíìîïóòôúùûœæøå"
 
-#: Counts of a text, all additive.
-COUNTS = ["zeichen", "leer", "buchstaben", "vokale", "woerter", "wortzeichen", "haeufig", "lang", "zeilen", "marken", "markenzeichen", "klein", "satzende", "saetze", "einzeilig", "tab", "strich", "semikolon", "zitat", "spalten", "komma"]
-#: Counts of a line that may be cut, before it is known where it ends.
-LINE = ["zeichen", "saetze", "einzeilig", "tab", "strich", "semikolon", "zitat", "spalten", "komma"]
+#: Counts of a text, all additive. wiederholt: words equal to the one before them.
+COUNTS = ["zeichen", "leer", "buchstaben", "vokale", "woerter", "wortzeichen", "haeufig", "lang", "wiederholt", "zeilen", "marken", "markenzeichen", "klein", "satzende", "saetze", "einzeilig", *SIGNS]
+#: A word is long beyond so many letters; the modulus of the words' hashes.
+LONG, PRIME = 48, (1 << 61) - 1
 
 
-class State:
-    """Counts of a stretch of text: its complete lines, and the cut lines at its ends.
+# ------------------------------------------------------------ pieces of words
+
+
+def piece(word: str) -> list:
+    """A stretch of letters of any length as ``[length, first characters, hash]``."""
+    return [len(word), word[:FIRST], int.from_bytes(word.encode("utf-32-be", "surrogatepass"), "big") % PRIME]
+
+
+def glue(a: list, b: list) -> list:
+    """The piece of two stretches one after the other."""
+    return [a[0] + b[0], a[1] if a[0] >= FIRST else (a[1] + b[1])[:FIRST], (a[2] * pow(1 << 32, b[0], PRIME) + b[2]) % PRIME]
+
+
+def count_word(p: list, counts: dict[str, int]) -> None:
+    counts["woerter"] += 1
+    counts["wortzeichen"] += p[0]
+    counts["haeufig"] += p[0] <= FIRST and p[1] in CASED
+    counts["lang"] += p[0] > LONG
+
+
+# ------------------------------------------------------------ pieces of lines
+
+
+def cut_line(whole: str, at: int, to: int) -> dict:
+    """What is known of a line of which ``whole[at:to]`` is seen."""
+    seen = whole[at:to]
+    signs = {c: sum(1 for _ in sign.finditer(whole, at, min(len(whole), to + AHEAD))) - sum(1 for _ in sign.finditer(whole, to, min(len(whole), to + AHEAD))) for c, sign in SIGNS.items()}
+    return {"zeichen": len("".join(seen.split())), "first": _start(seen), "last": seen.rstrip()[-1:], **signs}
+
+
+def _start(seen: str) -> str:
+    """The first FIRST characters of a line from its first visible one, white space as one blank."""
+    out: list[str] = []
+    for m in re.finditer(r"\s+|\S", seen.lstrip()):
+        out.append(" " if m.group()[0].isspace() else m.group())
+        if len(out) == FIRST:
+            break
+    return "".join(out)
+
+
+def join_lines(a: dict, b: dict) -> dict:
+    out = {c: a[c] + b[c] for c in ("zeichen", *SIGNS)}
+    return {**out, "first": (a["first"] + b["first"])[:FIRST], "last": b["last"] or a["last"]}
+
+
+def count_line(line: dict, counts: dict[str, int]) -> None:
+    """Adds a whole line to the counts. Blank lines count for nothing."""
+    if not line["last"]:
+        return
+    counts["zeilen"] += 1
+    first = line["first"]
+    if START.match(first.rstrip()):
+        counts["marken"] += 1
+        counts["markenzeichen"] += line["zeichen"]
+    elif first[0].islower():
+        counts["klein"] += 1
+    counts["satzende"] += line["last"] in ".!?"
+    for c, least in LEAST.items():
+        counts[c] += line[c] >= least
+
+
+# ------------------------------------------------------------ states
+
 
-    ``head`` is the piece before the first line end and ``tail`` that after the last; a
-    stretch without a line end is one piece, both at once. Pieces carry the first
-    characters and the last sign of what they have of the line. Joining two stretches
-    completes the line between them, so that ``merge`` is associative.
+class State:
+    """Counts of a stretch of text: its whole lines and words, and what is cut at its ends.
+
+    ``head`` is the piece of line before the first line end and ``tail`` that after the
+    last (None without a line end: then ``head`` is both). ``lead`` is the piece of a word
+    that began before the stretch, ``trail`` of one that goes on behind it, ``bridge`` the
+    stretch if it lies within one word; ``first`` and ``last`` are its first and last whole
+    words. Joining two stretches completes the line and the word between them, so that
+    ``merge`` is associative and a text gives the same counts wherever it is cut.
     """
 
-    __slots__ = ("counts", "cut", "head", "tail")
+    __slots__ = ("bridge", "counts", "first", "head", "last", "lead", "tail", "trail")
 
-    def __init__(self, counts: dict[str, int], cut: bool, head: dict, tail: dict | None):
-        self.counts, self.cut, self.head, self.tail = counts, cut, head, tail
+    def __init__(self, counts: dict[str, int], head: dict, tail: dict | None, lead=None, trail=None, bridge=None, first=None, last=None):
+        self.counts, self.head, self.tail = counts, head, tail
+        self.lead, self.trail, self.bridge, self.first, self.last = lead, trail, bridge, first, last
 
     def flat(self) -> dict:
-        return {"counts": self.counts, "cut": self.cut, "head": self.head, "tail": self.tail}
+        return {x: getattr(self, x) for x in self.__slots__}
 
     def merge(self, other: State) -> State:
-        counts = {c: self.counts.get(c, 0) + other.counts.get(c, 0) for c in COUNTS}
-        left = self.tail if self.cut else self.head
-        joined = {c: left[c] + other.head[c] for c in LINE}
-        joined["first"] = (left["first"] + other.head["first"])[:CONTEXT] if len(left["first"]) < CONTEXT else left["first"]
-        joined["last"] = other.head["last"] or left["last"]
-        if self.cut and other.cut:
-            complete(joined, counts)
-            return State(counts, True, self.head, other.tail)
-        if self.cut:
-            return State(counts, True, self.head, joined)
-        return State(counts, other.cut, joined, other.tail)
+        a, b = self, other
+        counts = {c: a.counts[c] + b.counts[c] for c in COUNTS}
+        out = State(counts, a.head, b.tail)
+        joined = join_lines(a.tail or a.head, b.head)
+        if a.tail is None:
+            out.head = joined
+        elif b.tail is None:
+            out.tail = joined
+        else:
+            count_line(joined, counts)
+        out.lead, out.trail, out.first, out.last = a.lead, b.trail, a.first or b.first, b.last or a.last
+        if a.bridge and b.bridge:
+            out.bridge = glue(a.bridge, b.bridge)
+        elif a.bridge:
+            out.lead = glue(a.bridge, b.lead)
+        elif b.bridge:
+            out.trail = glue(a.trail, b.bridge)
+        elif a.trail:
+            word = glue(a.trail, b.lead)
+            count_word(word, counts)
+            counts["wiederholt"] += (a.last == word) + (word == b.first)
+            out.first, out.last = a.first or word, b.last or word
+        elif a.last and b.first:
+            counts["wiederholt"] += a.last == b.first
+        return out
 
     def total(self) -> dict[str, int]:
-        """The counts of a whole text: its first and last lines are complete."""
+        """The counts of a whole text: its first and last lines are whole."""
         counts = dict(self.counts)
-        complete(self.head, counts)
-        if self.cut:
-            complete(self.tail, counts)
+        count_line(self.head, counts)
+        if self.tail:
+            count_line(self.tail, counts)
         return counts
 
 
-def complete(line: dict, counts: dict[str, int]) -> None:
-    """Adds a whole line to the counts. Blank lines count for nothing."""
-    if not line["last"]:
-        return
-
-    def add(c: str, n: int = 1) -> None:
-        counts[c] = counts.get(c, 0) + n
-
-    add("zeilen")
-    first = line["first"]
-    if START.match(first):
-        add("marken")
-        add("markenzeichen", line["zeichen"])
-    elif first.lstrip()[:1].islower():
-        add("klein")
-    if line["last"] in ".!?":
-        add("satzende")
-    add("saetze", line["saetze"])
-    add("einzeilig", line["einzeilig"])
-    for c in ("tab", "strich", "semikolon", "zitat", "spalten", "komma"):
-        if line[c] > (1 if c in ("strich", "semikolon", "komma") else 0):
-            add(c)
+def cuts(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """Chunks of about ``size`` characters: each ends before a visible character that follows
+    white space or, if there is none, inside the run of visible ones (or behind the white
+    space after it). One pass, whatever the length."""
+    at, n = 0, len(text)
+    while n - at > size:
+        to = at + size
+        while to > at and not (text[to - 1].isspace() and not text[to].isspace()):
+            to -= 1
+        if to == at:
+            to = at + size
+            if text[to].isspace():
+                m = SEEN.search(text, to)
+                to = m.start() if m else n
+        yield at, to
+        at = to
+    if at < n or not n:
+        yield at, n
 
 
 def measure(before: str, text: str, after: str) -> State:
-    """The state of a chunk, given the characters around it."""
+    """The state of a chunk as ``cuts`` makes it, given BEHIND characters before it and AHEAD after it."""
     counts = dict.fromkeys(COUNTS, 0)
+    whole = before + text + after if before or after else text
     counts["zeichen"] = len(text)
-    counts["leer"] = sum(map(str.isspace, text))
-    counts["buchstaben"] = sum(map(str.isalpha, text))
-    counts["vokale"] = sum(c in VOWELS for c in text)
-    cut_word = before[-1:] and WORD.fullmatch(before[-1:])
-    whole = text + after
-    for m in WORD.finditer(whole):
-        if m.start() >= len(text):
-            break
-        if m.start() == 0 and cut_word:
-            continue
-        word = m.group()
-        counts["woerter"] += 1
-        counts["wortzeichen"] += len(word)
-        counts["haeufig"] += word.lower() in COMMON
-        counts["lang"] += len(word) > 48
-    pieces, at = [], 0
-    for m in [*BREAK.finditer(text), None]:
-        line = text[at : m.start() if m else len(text)]
-        pieces.append({**dict.fromkeys(LINE, 0), "zeichen": len("".join(line.split())), "first": line[:CONTEXT], "last": line.rstrip()[-1:], "from": at})
-        at = m.end() if m else at
-    starts = [p.pop("from") for p in pieces]
-    whole = before + whole
-    for name, sign in SIGNS.items():
-        for m in sign.finditer(whole, len(before)):
-            if m.start() >= len(before) + len(text):
-                break
-            pieces[bisect_right(starts, m.start() - len(before)) - 1][name] += 1
-    for line in pieces[1:-1]:
-        complete(line, counts)
-    return State(counts, len(pieces) > 1, pieces[0], pieces[-1] if len(pieces) > 1 else None)
+    counts["leer"] = len(text) - sum(map(len, text.split()))
+    counts["vokale"] = sum(map(text.count, VOWELS))
+    words = WORD.findall(text)
+    counts["buchstaben"] = sum(map(len, words)) - len(PLAIN.findall(text))
+    start, end = len(before), len(before) + len(text)
+    for name, sign in (("saetze", SENTENCE), ("einzeilig", INLINE)):
+        if before or after:
+            counts[name] = sum(m.start() < end for m in sign.finditer(whole, start))
+        elif name == "saetze" or not text.isascii():
+            counts[name] = len(sign.findall(text))
+    # lines
+    lines, at = [], start
+    for m in BREAK.finditer(whole, start, end):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, end))
+    hints = {c: h for c, h in HINTS.items() if h in text or (c == "spalten" and "\t" in text)}
+    for a, b in lines[1:-1] if before or after else lines:
+        _whole_line(whole[a:b], hints, counts)
+    if not (before or after):
+        # a whole text: nothing is cut
+        _count_words(words, counts)
+        return State(counts, _NOTHING, None)
+    state = State(counts, cut_line(whole, *lines[0]), cut_line(whole, *lines[-1]) if len(lines) > 1 else None)
+    opens = bool(words and WORD.match(before[-1:]) and WORD.match(text[0]))
+    goes_on = bool(words and WORD.match(after[:1]) and WORD.match(text[-1]))
+    if opens and goes_on and len(words) == 1 and len(words[0]) == len(text):
+        state.bridge = piece(text)
+        return state
+    state.lead = piece(words[0]) if opens else None
+    state.trail = piece(words[-1]) if goes_on else None
+    inner = words[opens : len(words) - goes_on]
+    _count_words(inner, counts)
+    if inner:
+        state.first, state.last = piece(inner[0]), piece(inner[-1])
+    return state
+
+
+_NOTHING = {"zeichen": 0, "first": "", "last": "", **dict.fromkeys(SIGNS, 0)}
+
+
+def _count_words(words: list[str], counts: dict[str, int]) -> None:
+    sizes = list(map(len, words))
+    counts["woerter"] = len(words)
+    counts["wortzeichen"] = sum(sizes)
+    counts["haeufig"] = sum(map(CASED.__contains__, words))
+    if sizes and max(sizes) > LONG:
+        counts["lang"] = sum(n > LONG for n in sizes)
+    counts["wiederholt"] = sum(map(eq, words, words[1:]))
+
+
+def _whole_line(line: str, hints: dict[str, str], counts: dict[str, int]) -> None:
+    """What ``count_line`` does, for a line that is seen as a whole."""
+    shown = line.strip()
+    if not shown:
+        return
+    counts["zeilen"] += 1
+    if START.match(shown):
+        counts["marken"] += 1
+        counts["markenzeichen"] += sum(map(len, line.split()))
+    elif shown[0].islower():
+        counts["klein"] += 1
+    if shown[-1] in ".!?":
+        counts["satzende"] += 1
+    for c, h in hints.items():
+        if h in line or c == "spalten":
+            counts[c] += len(SIGNS[c].findall(line)) >= LEAST[c]
 
 
 def kind_of(c: dict[str, int]) -> str | None:
@@ -144,6 +267,9 @@ def kind_of(c: dict[str, int]) -> str | None:
     visible = c["zeichen"] - c["leer"]
     if visible <= 0:
         return None
+    # a record that got stuck: one word over and over
+    if c["woerter"] >= 8 and c["wiederholt"] > 0.4 * c["woerter"]:
+        return "schrott"
     words, lines = max(1, c["woerter"]), max(1, c["zeilen"])
     letters, common = c["buchstaben"] / visible, c["haeufig"] / words
     columns = max(c["tab"], c["strich"], c["semikolon"], c["zitat"], c["spalten"], c["komma"]) / lines
@@ -153,7 +279,7 @@ def kind_of(c: dict[str, int]) -> str | None:
         return "schrott"
     if c["zeichen"] > 60 and c["leer"] < 0.03 * c["zeichen"]:
         return "schrott"
-    if c["lang"] and c["lang"] * 48 > 0.5 * visible:
+    if c["lang"] and c["lang"] * LONG > 0.5 * visible:
         return "schrott"
     per_line = c["woerter"] / lines
     if c["einzeilig"] >= 4 and c["woerter"] / c["einzeilig"] <= 14:
@@ -181,57 +307,48 @@ def describe(c: dict[str, int]) -> tuple:
     )
 
 
-def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
+def text_statistics(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """Statistics and kind of every text: ``key`` and the columns of ``STATS``.
 
-    Texts longer than CHUNK characters are split; every chunk yields a state of counts
-    whose cut lines and words are corrected when states are joined. Joining is
-    associative, so the states of a text are merged FAN at a time in a tree; texts of one
-    chunk, nearly all, need no shuffle after the one that spreads the rows.
+    Texts longer than ``chunk`` characters are split, once each; every chunk yields a state
+    of counts whose cut lines and words are completed when states are joined. Joining is
+    associative, so the states of a text are merged FAN at a time in a tree. One set of
+    rules holds at every length: a text gives the same row whole and in chunks.
 
-    Repeated words as in a stuck record are junk, too: a text of one word over and over
-    is ``schrott`` (share of the most frequent word, see ``repeats``).
+    Scale: one pass over the table makes the rows of short texts, nearly all, and the chunks
+    of long ones; it is kept in the shared folder, so that no text is read twice. Only
+    chunks are shuffled after it.
 
     Defined cases: a null text gives nought counts, null shares and null kind, so do
     empty and blank texts (but for their number of characters); repeated rows stay
     repeated (a text is merged by row, not by key); an empty table gives no rows; other
-    columns are ignored. Texts of any length are read whole.
+    columns are ignored. Texts of any length, and words of any length, are read whole.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    small = spread(rows.where(F.length("t") <= CHUNK))
+    rows = spread(df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))).withColumn("row", F.monotonically_increasing_id())
+    parts = "before string, chunk string, after string"
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _table(batch.column(0), [_described(measure("", t, "").total(), repeats(t)) for t in batch.column(1).to_pylist()])
-
-    done = small.mapInArrow(whole, f"k {kind}, {STATS}")
-    large = rows.where(F.length("t") > CHUNK).withColumn("row", F.monotonically_increasing_id())
-    large = cut_lineage(large)
-    if not large.isEmpty():
-        i = F.col("i") * CHUNK
-        chunks = large.select("k", "row", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / CHUNK).cast("int"))).alias("i"), "t").select(
-            "k", "row", "i", F.substr("t", F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))).alias("before"),
-            F.substr("t", i + 1, F.lit(CHUNK)).alias("chunk"), F.substr("t", i + CHUNK + 1, F.lit(CONTEXT)).alias("after"),
-        )
-        done = done.unionByName(_merge_tree(spread(chunks, "row", "i"), kind))
-    return done.withColumnRenamed("k", key)
-
-
-def repeats(text: str) -> bool:
-    """Whether one word makes up more than half of a text of at least eight words."""
-    words = WORD.findall(text)
-    if len(words) < 8:
-        return False
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    return max(counts.values()) > 0.5 * len(words)
-
-
-def _described(c: dict[str, int], stuck: bool) -> tuple:
-    row = describe(c)
-    return (*row[:-1], "schrott") if stuck else row
+            texts, ids = batch.column(1).to_pylist(), batch.column(2)
+            short = [i for i, t in enumerate(texts) if len(t) <= chunk]
+            done = _table(batch.column(0).take(pa.array(short, pa.int32())), [describe(measure("", texts[i], "").total()) for i in short])
+            nothing = [pa.nulls(len(short), pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([*done.columns, ids.take(pa.array(short, pa.int32())), pa.nulls(len(short), pa.int32()), *nothing], names)
+            for i, t in enumerate(texts):
+                if len(t) > chunk:
+                    k, row = batch.column(0).slice(i, 1), ids.slice(i, 1)
+                    for nr, (a, b) in enumerate(cuts(t, chunk)):
+                        seen = [pa.array([x], pa.string()) for x in (t[max(0, a - BEHIND) : a], t[a:b], t[b : b + AHEAD])]
+                        yield pa.RecordBatch.from_arrays([k, *(pa.nulls(1, f) for f in done.schema.types[1:]), row, pa.array([nr], pa.int32()), *seen], names)
+
+    names = ["k", *(x.split()[0] for x in STATS.split(", ")), "row", "i", "before", "chunk", "after"]
+    seen = cut_lineage(rows.mapInArrow(once, f"k {kind}, {STATS}, row long, i int, {parts}"))
+    out = seen.where("i is null").select(*names[:-5])
+    long = seen.where("i is not null").select("k", "row", "i", "before", "chunk", "after")
+    if not long.isEmpty():
+        out = out.unionByName(_merge_tree(spread(long, "row", "i"), kind))
+    return out.withColumnRenamed("k", key)
 
 
 def _table(keys, rows: list[tuple]) -> pa.RecordBatch:
@@ -244,37 +361,32 @@ def _table(keys, rows: list[tuple]) -> pa.RecordBatch:
 
 def _merge_tree(chunks: DataFrame, kind: str) -> DataFrame:
     """States of chunks, merged FAN at a time, and at last described."""
-    import json
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, t, a = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            states = [json.dumps({**measure(x, y, z).flat(), "stuck": [int(repeats(y)), 1]}) for x, y, z in zip(b, t, a)]
+            states = [json.dumps(measure(x, y, z).flat()) for x, y, z in zip(b, t, a)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(states, pa.string())], ["k", "row", "i", "state"])
 
     def join(pdf):
         pdf = pdf.sort_values("i")
-        states = [json.loads(s) for s in pdf["state"]]
-        total, stuck = State(*(states[0][x] for x in ("counts", "cut", "head", "tail"))), states[0]["stuck"]
+        states = [State(**json.loads(s)) for s in pdf["state"]]
+        total = states[0]
         for s in states[1:]:
-            total = total.merge(State(*(s[x] for x in ("counts", "cut", "head", "tail"))))
-            stuck = [stuck[0] + s["stuck"][0], stuck[1] + s["stuck"][1]]
+            total = total.merge(s)
         out = pdf[["k", "row", "i"]].iloc[:1].copy()
         out["i"] = out["i"] // FAN
-        out["state"] = json.dumps({**total.flat(), "stuck": stuck})
+        out["state"] = json.dumps(total.flat())
         return out
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s in map(json.loads, batch.column(3).to_pylist()):
-                rows.append(_described(State(s["counts"], s["cut"], s["head"], s["tail"]).total(), s["stuck"][0] * 2 > s["stuck"][1]))
-            yield _table(batch.column(0), rows)
+            yield _table(batch.column(0), [describe(State(**json.loads(s)).total()) for s in batch.column(3).to_pylist()])
 
     schema = f"k {kind}, row long, i int, state string"
     states = chunks.mapInArrow(first, schema)
-    most = 1 << 31
-    while most > CHUNK:  # a string has fewer than 2^31 characters
+    most = chunks.agg(F.max("i")).first()[0] + 1
+    while most > 1:
         states = states.withColumn("g", F.floor(F.col("i") / FAN)).groupBy("row", "g").applyInPandas(lambda g: join(g.drop(columns="g")), schema)
-        most //= FAN
+        most = -(-most // FAN)
     return states.mapInArrow(last, f"k {kind}, {STATS}")

@@ -351,21 +351,36 @@ def test_mix(spark):
 # ---------------------------------------------------------------- quality
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab .\n-•\r;|\t1A,\"", max_size=90), st.integers(1, 9))
-def test_states_are_associative(text, n):
-    whole = Q.measure("", text, "").total()
-    parts = [Q.measure(text[max(0, i - 64) : i], text[i : i + n], text[i + n : i + n + 64]) for i in range(0, len(text), n)] or [Q.measure("", "", "")]
-    left = parts[0]
-    for p in parts[1:]:
-        left = left.merge(p)
-    right = parts[-1]
-    for p in reversed(parts[:-1]):
-        right = p.merge(right)
-    assert left.total() == whole == right.total()
-
-
-def test_kinds(spark, monkeypatch):
+PIECES = ["Die ", "und ", "und und ", "a", "B", ".", "!", ", ", ",", '"', '","', "|", ";", "\t", " ", "  ", "\n", "\r\n", "\r", "• ", "•", "- ", "1. ", "(a) ", "[x] ", "ä", "Wort. Der ", "x" * 60, " \n ", "9", "_", "½"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=60), st.integers(1, 40), st.randoms())
+def test_states_are_associative(pieces, size, rng):
+    """A text has the same counts whole and in chunks of any size, joined in any order."""
+    text = "".join(pieces)
+    chunks = list(Q.cuts(text, size))
+    assert "".join(text[a:b] for a, b in chunks) == text
+    states = [Q.measure(text[max(0, a - Q.BEHIND) : a], text[a:b], text[b : b + Q.AHEAD]) for a, b in chunks]
+    while len(states) > 1:
+        k = rng.randrange(len(states) - 1)
+        states[k : k + 2] = [Q.State(**states[k].flat()).merge(states[k + 1])]
+    assert states[0].total() == Q.measure("", text, "").total()
+
+
+def test_one_rule_at_any_length(spark):
+    """Long texts give the row that they give as a whole, whatever the chunk."""
+    prose = "Die Prüfung der Unterlagen ist für alle Studierenden verpflichtend und wird im Seminar besprochen. "
+    texts = [prose * 1400, "test " * 40_000, "w" * 70_000 + " und die", "- Punkt eins\n" * 9_000, "a;b;c;d\n" * 9_000, " " * 70_000 + "x", "Preis Preis " + prose * 700, "ja nein " * 20_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, t string, row string")
+    whole = {i: Q.describe(Q.measure("", t, "").total()) for i, t in enumerate(texts)}
+    for size in (Q.CHUNK, 1000):
+        assert {r[0]: tuple(r[1:]) for r in Q.text_statistics(df, "id", "t", size).collect()} == whole
+    assert whole[0][-1] == whole[6][-1] == "prosa" and whole[1][-1] == "schrott"
+    assert whole[2][2] == pytest.approx((70_000 + 3 + 3) / 3)
+
+
+def test_kinds(spark):
     prose = "Die Gruppe hat sich im Semester mit der Sache beschäftigt. Es wird empfohlen, die Übungen selbst zu rechnen. "
     texts = {
         1: prose * 3, 2: "\n".join(f"- Thema {w} der Lehre" for w in "abcdefgh"), 3: "Modul;TN;Note\n" + "\n".join(f"Recht;{i};1,{i}" for i in range(9)), 4: "undefined " * 40, 5: "%$ #|~ ^^ <>" * 30, 6: None, 7: "", 8: "  \n ", 9: prose * 4000, 10: "\n".join(f"- Punkt {i} der langen Liste" for i in range(9000)),
@@ -391,9 +406,3 @@ def test_alone():
         for f in files:
             if f.endswith(".py"):
                 assert not re.search(r"quercus\.llm|from \.+llm", open(os.path.join(folder, f)).read()), f
-
-
-def test_long_words(spark):
-    assert Q.measure("", "x" * 5000, "").total()["woerter"] == 1
-    df = spark.createDataFrame([(1, "x" * 70_000)], "doc_id long, text string")
-    assert Q.text_statistics(df, "doc_id", "text").select(F.col("woerter")).first()[0] == 1
