@@ -134,7 +134,7 @@ def content_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def literature_entries(spark: SparkSession, folder: str) -> DataFrame:
-    return entries(modules(spark, folder), "zeile_id", "literatur", [r["ort"] for r in learn_places(spark, folder).orderBy(F.desc("stark"), F.desc("schwach"), "ort").limit(500).collect()])
+    return entries(modules(spark, folder), "zeile_id", "literatur", learn_places(spark, folder))
 
 
 def learn_places(spark: SparkSession, folder: str) -> DataFrame:
