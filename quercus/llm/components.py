@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from quercus.session import cut_lineage, fingerprint
 
+#: A vertex in more than 1/HOT of the rows is hot; there are fewer than HOT of them, whatever the data.
+HOT = 2048
+
+
+def with_least(sets: DataFrame, rows: int) -> DataFrame:
+    """``v, u, m``: the sets (v, u), ``rows`` in number, with the least member of each vertex.
+
+    The least member is aggregated map-side. To a hot vertex it comes by broadcast - fewer
+    than HOT rows - so its rows stay in the tasks that hold them; only the others are
+    shuffled for the join.
+    """
+    least = sets.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = least.where(F.col("n") * HOT > rows).select("v", "m")
+    marked = sets.join(F.broadcast(hot), "v", "left")
+    cold = marked.where("m is null").select("v", "u").join(least.where(F.col("n") * HOT <= rows).select("v", "m"), "v")
+    return marked.where("m is not null").select("v", "u", "m").unionByName(cold.select("v", "u", "m"))
+
 
 def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Group identifier of every key that a pair links directly or over others.
@@ -19,9 +36,9 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
 
     The sets are rows ``(v, u)``, never arrays: a component that holds a third of
     all keys is spread over the partitions by the hash of both columns. Only the
-    minimum is aggregated by vertex (combined map-side), and it is joined back by
-    an equi-join which adaptive execution can split at a hot vertex. Each round is
-    checkpointed in the shared folder.
+    minimum is aggregated by vertex, and it is joined back without gathering a hot
+    vertex in one task, see ``with_least``. Each round is checkpointed in the shared
+    folder.
 
     Returns ``key, gruppe``: every key of a pair with both keys present, gruppe the
     smallest key of its component by code point.
@@ -47,8 +64,7 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
     sets = cut_lineage(sets.distinct())
     state = fingerprint(sets, "v", "u")
     for _ in range(max_rounds):
-        least = sets.groupBy("v").agg(F.min("u").alias("m"))
-        sent = sets.join(least, "v").select(
+        sent = with_least(sets, state[0]).select(
             F.explode(
                 F.array(
                     F.struct(F.col("m").alias("v"), F.col("u").alias("u")),

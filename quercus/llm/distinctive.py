@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A term in more than total/HOT records is hot; there are at most HOT * (terms per record) of
@@ -21,20 +21,22 @@ def log_entropy(terms: DataFrame, record: str, term: str, group: str | None = No
     ``terms`` has one row per occurrence. First aggregation: local frequency ``tf`` by
     (record, term). Second: by term the global frequency ``gf``, the number of records
     ``df``, of distinct groups ``gruppen`` and the entropy of the spread
-    ``H = ln gf - sum(tf ln tf) / gf``, which needs no join. The weight is
-    ``log2(1 + tf) * (1 - H / ln n)`` with n the number of records that have a term:
-    1 - 0 for a term of a single record, nought for one spread evenly over all.
+    ``H = ln gf - sum(s ln s) / gf`` with s the term's frequency in a group, which needs no
+    join. The weight is ``log2(1 + tf) * (1 - H / ln n)`` with n the number of groups that
+    have a term: 1 - 0 for a term of a single group, nought for one spread evenly over all.
+    A term of at most m groups has H <= ln m, so it weighs at least ``least_weight(tf, m, n)``.
 
-    Returns ``record, term, [group,] tf, gf, df, gruppen, gewicht``. ``group`` must be
-    a function of the record; without it gruppen counts records.
+    Returns ``record, term, [group,] tf, gf, df, gruppen, n, gewicht``. ``group`` must be
+    a function of the record; without it every record is a group.
 
     Scale: both aggregations combine map-side. The statistics return to the rows by an
-    equi-join; the terms that make up more than 1/HOT of all (record, term) rows - at
-    most HOT of them whatever the corpus - go by broadcast, so no task gets a hot term.
+    equi-join; those of terms that make up more than 1/HOT of all (record, term) rows - at
+    most HOT of them whatever the corpus - go by broadcast and their rows are not shuffled,
+    so no task gets a hot term.
 
     Defined cases: rows with a null record or term are no occurrences; a null group is
-    not counted as a group; with a single record n is taken as 2, so that the weight is
-    defined; an empty table gives no rows; other columns are ignored.
+    a group for the entropy, but not counted in gruppen; with a single group n is taken as 2,
+    so that the weight is defined; an empty table gives no rows; other columns are ignored.
     """
     grouped = [F.col(group).alias("_g")] if group else []
     local = (
@@ -43,28 +45,34 @@ def log_entropy(terms: DataFrame, record: str, term: str, group: str | None = No
         .groupBy("_r", "_t")
         .agg(F.count(F.lit(1)).alias("tf"), *([F.min("_g").alias("_g")] if group else []))
     )
-    x = F.col("tf").cast("double")
-    if group:
-        by_group = local.groupBy("_t", "_g").agg(F.sum("tf").alias("s"), F.sum(x * F.log(x)).alias("p"), F.count(F.lit(1)).alias("c"))
-        counts = by_group.groupBy("_t").agg(F.sum("s").alias("gf"), F.sum("p").alias("p"), F.sum("c").alias("df"), F.count("_g").alias("gruppen"))
-    else:
-        counts = local.groupBy("_t").agg(F.sum("tf").alias("gf"), F.sum(x * F.log(x)).alias("p"), F.count(F.lit(1)).alias("df"))
-        counts = counts.withColumn("gruppen", F.col("df"))
-    totals = local.agg(F.greatest(F.count_distinct("_r"), F.lit(2)).alias("n"), F.count(F.lit(1)).alias("cells"))
+    by_group = local.groupBy("_t", "_g").agg(F.sum("tf").alias("s"), F.count(F.lit(1)).alias("c")) if group else local.select("_t", F.col("_r").alias("_g"), F.col("tf").alias("s"), F.lit(1).alias("c"))
+    s = F.col("s").cast("double")
+    counts = by_group.groupBy("_t").agg(F.sum("s").alias("gf"), F.sum(s * F.log(s)).alias("p"), F.sum("c").alias("df"), F.count("_g").alias("gruppen"))
+    unit = F.coalesce(F.xxhash64("_g"), F.lit(0)) if group else F.xxhash64("_r")
+    totals = local.agg(F.greatest(F.count_distinct(unit), F.lit(2)).alias("n"), F.count(F.lit(1)).alias("cells"))
     gf = F.col("gf").cast("double")
     spread = counts.crossJoin(F.broadcast(totals)).select(
-        "_t", "gf", "df", "gruppen",
+        "_t", "gf", "df", "gruppen", "n",
         (F.lit(1.0) - (F.log(gf) - F.col("p") / gf) / F.log(F.col("n").cast("double"))).alias("g"),
         (F.col("df") * HOT > F.col("cells")).alias("hot"),
     )
     return _with_spread(local, spread).select(
         F.col("_r").alias(record), F.col("_t").alias(term), *([F.col("_g").alias(group)] if group else []),
-        "tf", "gf", "df", "gruppen", (F.log2(F.lit(1.0) + x) * F.col("g")).alias("gewicht"),
+        "tf", "gf", "df", "gruppen", "n", (F.log2(F.lit(1.0) + F.col("tf")) * F.col("g")).alias("gewicht"),
     )
 
 
+def least_weight(tf: Column, groups: int, n: Column) -> Column:
+    """What a term with local frequency ``tf`` weighs at least if it stands in no more than ``groups``
+    of ``n`` groups: its entropy is greatest when it is spread evenly over them. A hair less, as
+    sums of doubles differ in their last digits."""
+    return F.log2(F.lit(1.0) + tf) * (F.lit(1.0) - F.log(F.lit(float(groups))) / F.log(n.cast("double"))) - F.lit(1e-9)
+
+
 def _with_spread(local: DataFrame, spread: DataFrame) -> DataFrame:
-    """The statistics at every (record, term) row. Terms with more than 1/HOT of the rows are at most HOT."""
+    """The statistics at every (record, term) row. Terms with more than 1/HOT of the rows are at most
+    HOT: their statistics are broadcast and their rows stay where they are."""
     hot = spread.where("hot").drop("hot")
-    rest = spread.where("not hot").drop("hot")
-    return local.join(F.broadcast(hot), "_t").unionByName(local.join(rest, "_t"))
+    marked = local.join(F.broadcast(hot), "_t", "left")
+    cold = marked.where("gf is null").select(*local.columns).join(spread.where("not hot").drop("hot"), "_t")
+    return marked.where("gf is not null").unionByName(cold.select(*marked.columns))

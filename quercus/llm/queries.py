@@ -106,13 +106,16 @@ def _module_terms(spark: SparkSession, folder: str, formular_only: bool) -> Data
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    from quercus.llm.distinctive import log_entropy
+    """Terms by their weight: log-entropy over modules, of which what stands in few modules has
+    the most. The weight selects; the exact numbers of the task are checked on what it leaves."""
+    from quercus.llm.distinctive import least_weight, log_entropy
 
     words = log_entropy(_module_terms(spark, folder, True), "zeile_id", "begriff", "modulnummer")
-    words = words.where("tf >= 3 and gruppen <= 3").select(F.lit("inhalte").alias("feld"), "modulnummer", "begriff")
+    words = words.where("tf >= 3").where(F.col("gewicht") >= least_weight(F.col("tf"), 3, F.col("n"))).where("gruppen <= 3")
     keys = log_entropy(read(spark, folder, "literatur"), "modulnummer", "lit_key")
-    keys = keys.where("df = 2").select(F.lit("lit_key").alias("feld"), "modulnummer", F.col("lit_key").alias("begriff"))
-    return words.where("modulnummer is not null").distinct().unionByName(keys)
+    keys = keys.where(F.col("gewicht") >= least_weight(F.col("tf"), 2, F.col("n"))).where("df = 2")
+    words = words.where("modulnummer is not null").select(F.lit("inhalte").alias("feld"), "modulnummer", "begriff").distinct()
+    return words.unionByName(keys.select(F.lit("lit_key").alias("feld"), "modulnummer", F.col("lit_key").alias("begriff")))
 
 
 def p7_weights(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,9 +13,9 @@ from quercus.llm import markup as M
 from quercus.llm import names as N
 from quercus.llm import quality as Q
 from quercus.llm import tokenise as T
-from quercus.llm.components import hash_to_min
-from quercus.llm.distinctive import log_entropy
-from quercus.llm.mixing import fair_mix, shares
+from quercus.llm.components import hash_to_min, with_least
+from quercus.llm.distinctive import least_weight, log_entropy
+from quercus.llm.mixing import fair_mix, running_size, shares
 from quercus.llm.queries import QUERIES, _module_points
 from quercus.llm.scans import _convertible, repair
 from quercus.llm.spectral import affinities, embed_and_split, point_tokens, spectral_clusters
@@ -216,6 +216,33 @@ def test_components(spark):
 # ---------------------------------------------------------------- spectral clusters
 
 
+def partitions(df):
+    """Rows of each task's output."""
+    return [len(x) for x in df.rdd.glom().collect()]
+
+
+@pytest.fixture
+def plain_plans(spark):
+    """Plans as they stand: nothing coalesced, nothing broadcast for being small."""
+    for k, v in (("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1"), ("shuffle.partitions", "8")):
+        spark.conf.set(f"spark.sql.{k}", v)
+    yield
+    for k, v in (("adaptive.enabled", "true"), ("autoBroadcastJoinThreshold", "10MB"), ("shuffle.partitions", "4")):
+        spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_hub_is_no_task(spark, plain_plans):
+    """A vertex with a third of all rows stays in the tasks that hold its rows."""
+    rows = [(0, i) for i in range(4000)] + [(i, i) for i in range(1, 8000)]
+    sets = spark.createDataFrame(rows, "v long, u long").repartition(8, "v", "u")
+    got = with_least(sets, len(rows))
+    assert max(partitions(got)) < len(rows) / 4
+    assert got.where("v = 0").agg(F.count("*"), F.max("m")).first() == (4000, 0) and got.count() == len(rows)
+    star = spark.createDataFrame([(0, i) for i in range(3000)] + [(5000 + i, 5001 + i) for i in range(0, 400, 2)], "a long, b long")
+    groups = hash_to_min(star, "a", "b")
+    assert groups.where("gruppe = 0").count() == 3000 and groups.count() == 3400
+
+
 def test_spectral(spark):
     rng = random.Random(4)
     rows, truth = [], {}
@@ -269,17 +296,32 @@ def test_split_to_the_end(spark, monkeypatch):
 def test_log_entropy(spark):
     docs = {1: "aaaa bbbb bbbb", 2: "bbbb cccc", 3: "aaaa aaaa dddd bbbb"}
     rows = [(d, w, f"g{d % 2}", "x") for d, t in docs.items() for w in t.split()] + [(None, "aaaa", "g", "x"), (4, None, "g", "x")]
-    got = {(r.d, r.w): r for r in log_entropy(spark.createDataFrame(rows, "d int, w string, g string, tf string"), "d", "w", "g").collect()}
+    df = spark.createDataFrame(rows, "d int, w string, g string, tf string")
     tf = Counter((d, w) for d, w, *_ in rows if d and w)
     gf = Counter(w for d, w, *_ in rows if d and w)
-    for (d, w), n in tf.items():
-        p = [m / gf[w] for (_, v), m in tf.items() if v == w]
-        weight = math.log2(1 + n) * (1 + sum(x * math.log(x) for x in p) / math.log(3))
-        assert got[d, w].gewicht == pytest.approx(weight, abs=1e-9) and got[d, w].gf == gf[w]
-    assert got[1, "aaaa"].gruppen == 1 and got[1, "bbbb"].gruppen == 2 and len(got) == len(tf)
+    for group, unit, n in ((None, "d", 3), ("g", "g", 2)):
+        got = {(r.d, r.w): r for r in log_entropy(df, "d", "w", group).collect()}
+        spread = Counter((d if unit == "d" else g, w) for d, w, g, _ in rows if d and w)
+        for (d, w), m in tf.items():
+            p = [x / gf[w] for (_, v), x in spread.items() if v == w]
+            weight = math.log2(1 + m) * (1 + sum(x * math.log(x) for x in p) / math.log(n))
+            assert got[d, w].gewicht == pytest.approx(weight, abs=1e-9) and got[d, w].gf == gf[w]
+        assert len(got) == len(tf)
+    assert got[1, "aaaa"].gruppen == 1 and got[1, "bbbb"].gruppen == 2
     assert log_entropy(spark.createDataFrame([], "d int, w string"), "d", "w").count() == 0
 
 
+def test_characteristic_terms_by_weight(spark, data):
+    """The weight takes part in what is found: its entropy stands in the plan, and it alone loses nothing."""
+    plan = QUERIES["p7_found"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG2" in plan and "gewicht" not in QUERIES["p7_found"](spark, data).columns
+    t = spark.createDataFrame([(r, f"t{r % k}", f"g{r % 40}") for k in (3, 7, 40) for r in range(40) for _ in range(k)], "r long, t string, g string")
+    w = log_entropy(t, "r", "t", "g")
+    few = w.where("gruppen <= 3")
+    assert few.count() == few.where(F.col("gewicht") >= least_weight(F.col("tf"), 3, F.col("n"))).count()
+    assert w.where("gruppen = 40").count() == 0 or w.where("gruppen > 12").where(F.col("gewicht") >= least_weight(F.col("tf"), 3, F.col("n"))).count() < w.where("gruppen > 12").count()
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -348,6 +390,19 @@ def test_mix(spark):
     assert fair_mix(df.limit(0), targets).count() == 0 and fair_mix(df, targets.limit(0)).count() == 0
 
 
+def test_ranges_of_the_mix(spark, plain_plans):
+    """A source that is far ahead in virtual time doesn't gather the others in one task."""
+    docs = [(i, "gross" if i % 20 else "klein", 10) for i in range(20_000)]
+    targets = spark.createDataFrame([("gross", 0.9999, 1), ("klein", 0.0001, 1)], "source string, zielanteil double, max_wiederholung int")
+    mix = fair_mix(spark.createDataFrame(docs, "doc_id long, source string, tokens long"), targets)
+    sizes = partitions(mix)
+    assert len([n for n in sizes if n]) >= 6 and max(sizes) < 20_000 / 4
+    rows = mix.orderBy("bis").collect()
+    assert [r.bis for r in rows] == [10 * (i + 1) for i in range(20_000)]
+    assert [(r.fertig, r.source, r.doc_id) for r in rows] == sorted((r.fertig, r.source, r.doc_id) for r in rows)
+    assert running_size(spark.createDataFrame([], "a long, z long"), ["a"], "z", "s").count() == 0
+
+
 # ---------------------------------------------------------------- quality
 
 
