@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +18,11 @@ CONFUSIONS = {
 CONJUNCTIONS = ["und", "oder", "bzw", "sowie", "als", "wie", "bis", "noch", "statt", "and", "or", "u", "o", "aber", "beziehungsweise", "samt", "mit"]
 #: A hyphen at the end of a line or stretch: typed, soft, or read as a hook.
 HYPHEN = "[-\u00ad\u00ac\u2010]"
-#: Stands between the halves of a joined word until the words are told apart.
+#: A mask without words: numbers and single letters, bars (whose skeleton is i) and dashes.
+NUMBERED = r"^[-–—|/i ]*#(?:[-–—|/.i ]+#)?[-–—|/i ]*$"
+#: How many times as frequent as a known word another must be for the known one to be maybe a misread form of it.
+RATIO = 20
+#: Stands where a word was mended, between its halves or behind its umlaut, until the words are told apart.
 JOINT = "\ue002"
 #: A word: runs of letters and digits joined by single signs.
 WORD = r"[\p{L}\p{N}]+(?:[-&/'’][\p{L}\p{N}]+)*"
@@ -38,6 +40,15 @@ def skeleton(word: Column) -> Column:
     return F.translate(x, "cf90856äöß2q", "etgobsbaosz" + "g")
 
 
+def composed(text: Column) -> Column:
+    """Umlauts and accents that stand as a letter and a mark of their own, as one letter."""
+    x = text
+    for mark, plain, whole in (("\u0308", "aouAOU", "äöüÄÖÜ"), ("\u0301", "eE", "éÉ"), ("\u0300", "aeAE", "àèÀÈ")):
+        for a, b in zip(plain, whole):
+            x = F.replace(x, F.lit(a + mark), F.lit(b))
+    return x
+
+
 def line_mask(line: Column) -> Column:
     """A line with its numbers masked and its words as skeletons: the same for every
     copy of a header, whatever page it stands on and however it was misread."""
@@ -69,11 +80,22 @@ def page_masks(lines: DataFrame) -> DataFrame:
     rate = by_field.join(F.broadcast(size), "feld").withColumn("rate", F.col("n") / F.col("cells"))
     masks = rate.groupBy("mask").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("fields"), (F.min("rate") / F.max("rate")).alias("even"))
     letters = F.length(F.regexp_replace("mask", r"[^\p{L}]", ""))
-    return masks.where(((letters >= 2) & (F.col("n") >= 3) & (F.col("fields") >= 3) & (F.col("even") > 0.2)) | F.col("mask").rlike(r"^[-–—|/ ]*#(?:[-–—|/ ]+#)?[-–—|/ ]*$")).select("mask")
+    return masks.where(((letters >= 2) & (F.col("n") >= 3) & (F.col("fields") >= 3) & (F.col("even") > 0.2)) | F.col("mask").rlike(NUMBERED)).select("mask")
 
 
 def _convertible(right: str, seen: str) -> int:
-    """The least number of confusions that turn ``right`` into ``seen``; -1 if none do."""
+    """The least number of confusions that turn ``right`` into ``seen``; -1 if none do.
+
+    A confusion changes its first and its last sign, so what both have in common at the
+    start and at the end is no part of one; the rest, mostly a few signs, is looked at.
+    """
+    i, ends = 0, min(len(right), len(seen))
+    while i < ends and right[i] == seen[i]:
+        i += 1
+    right, seen, k = right[i:], seen[i:], 0
+    while k < min(len(right), len(seen)) and right[-1 - k] == seen[-1 - k]:
+        k += 1
+    right, seen = right[: len(right) - k], seen[: len(seen) - k]
     best = {(0, 0): 0}
     for i in range(len(right) + 1):
         for j in range(len(seen) + 1):
@@ -95,9 +117,42 @@ def confusions(right: pd.Series, seen: pd.Series) -> pd.Series:
     return pd.Series([_convertible(r, s) for r, s in zip(right, seen)], dtype="int32")
 
 
+def word_array(text: Column, token: str = WORD) -> Column:
+    return F.regexp_extract_all(text, F.lit(token), F.lit(0))
+
+
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:
     """``wort, n``: the words of trusted texts and how often they occur."""
-    return texts.select(F.explode(F.regexp_extract_all(column, F.lit(WORD), F.lit(0))).alias("wort")).groupBy("wort").agg(F.count(F.lit(1)).alias("n"))
+    return texts.select(F.explode(word_array(F.col(column))).alias("wort")).groupBy("wort").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _beside(words: Column) -> Column:
+    """Every word of an array with the skeletons of its neighbours, ``""`` at the ends."""
+    at = lambda i: F.coalesce(skeleton(F.get(words, i)), F.lit(""))
+    return F.transform(words, lambda w, i: F.struct(w.alias("raw"), at(i - 1).alias("l"), at(i + 1).alias("r")))
+
+
+def _in_context(cases: DataFrame, options: DataFrame, trusted: DataFrame, column: str) -> DataFrame:
+    """``wort, l, r, right``: the right form of each misread word between its neighbours.
+
+    ``cases`` (wort, l, r) are the words with what stands beside them, ``options`` (wort,
+    right, own, c, n, known) the forms each may be. Support of a form is how often trusted
+    texts have it beside these neighbours. A form that has support goes before those
+    without; then fewer confusions, more support, more occurrences, the smaller form. A
+    word that is itself known is given up only for a form that has support where it has none.
+    """
+    forms = options.select(F.col("right").alias("w")).unionByName(options.where("known").select(F.col("wort").alias("w"))).distinct()
+    beside = trusted.select(F.explode(_beside(word_array(F.col(column)))).alias("x")).select(F.col("x.raw").alias("w"), "x.l", "x.r").join(forms, "w", "left_semi")
+    left = beside.where("l <> ''").groupBy("w", "l").agg(F.count(F.lit(1)).alias("nl"))
+    right = beside.where("r <> ''").groupBy("w", "r").agg(F.count(F.lit(1)).alias("nr"))
+    own = options.where("known").select("wort", F.col("wort").alias("right"), F.lit(0).alias("own"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("n")).distinct()
+    tried = cases.join(options.select("wort", "right", "own", "c", "n").unionByName(own), "wort")
+    tried = tried.join(left.withColumnRenamed("w", "right"), ["right", "l"], "left").join(right.withColumnRenamed("w", "right"), ["right", "r"], "left")
+    support = F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0))
+    order = F.struct((support == 0).alias("alone"), "own", "c", (-support).alias("s"), (-F.col("n")).alias("n"), "right")
+    best = tried.groupBy("wort", "l", "r").agg(F.min(order).alias("b"), F.max(F.when(F.col("c") == 0, support)).alias("self"))
+    fine = F.col("self").isNull() | ((F.col("self") == 0) & ~F.col("b.alone"))
+    return best.where(fine & (F.col("b.right") != F.col("wort"))).select("wort", "l", "r", F.col("b.right").alias("right"))
 
 
 def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trusted_text: str) -> tuple[DataFrame, DataFrame]:
@@ -113,14 +168,15 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     2. The other lines are reflowed by a window over the cell: a word with a hyphen at the
        end of a line, or before a blank, is joined with the next word if that starts in
        lower case and is no conjunction.
-    3. A word that trusted texts never have is misread if a trusted word has the same
-       skeleton and can be turned into it by confusions; the one with the fewest
-       confusions, then the most frequent, then the smallest, is its right spelling.
-       Failing that, a form that the scans themselves have more often counts (names that
-       only scanned records have).
+       Dots beside their vowel are put on it.
+    3. Forms of one skeleton that confusions turn into each other are candidates: for a
+       word that trusted texts never have, all of theirs - failing that, one that the scans
+       themselves have more often (names that only scanned records have); for a word they
+       have, those at least RATIO times as frequent. Between its neighbours the word becomes
+       the form that trusted texts have there, see ``_in_context``.
 
-    Scale: lines, words and vocabulary are relations joined by mask and skeleton; nothing
-    is collected. Windows go over single cells.
+    Scale: lines, words and vocabulary are relations joined by mask and skeleton, the words
+    beside a form by form and skeleton; nothing is collected. Windows go over single cells.
 
     Defined cases: null, empty and blank cells give no rows; unknown words without a
     trusted counterpart stay as they are; a hyphen before an upper-case letter or a
@@ -134,36 +190,40 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     text = lines.join(masks, "mask", "left_anti")
     whole = Window.partitionBy("row").orderBy("nr")
     joined = F.concat_ws("\n", F.collect_list("zeile").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    flowed = text.withColumn("t", joined).withColumn("first", F.row_number().over(whole)).where("first = 1").select("k", "feld", "row", "t")
+    flowed = text.withColumn("t", joined).withColumn("first", F.row_number().over(whole)).where("first = 1").select("k", "feld", "row", composed(F.col("t")).alias("t"))
     stop = "|".join(CONJUNCTIONS)
-    #  stands between the halves of a joined word until the words are told apart
     break_ = rf"(?<=\p{{L}}){HYPHEN}\s+(?!(?:{stop})\b)(?=\p{{Ll}})"
     flowed = flowed.withColumn("t", F.regexp_replace("t", break_, JOINT))
+    # dots that were read as a sign of their own beside the vowel they belong to
+    for vowel, umlaut in zip("aouAOU", "äöüÄÖÜ"):
+        flowed = flowed.withColumn("t", F.replace("t", F.lit(vowel + "\u00a8"), F.lit(umlaut + JOINT)))
+    flowed = cut_lineage(flowed)
+    # JOINT marks a mended word; neighbours are those of the mended text
     token = WORD.replace(r"\p{N}", rf"\p{{N}}{JOINT}")
-    words = flowed.select("k", "feld", "row", F.explode(F.regexp_extract_all("t", F.lit(token), F.lit(0))).alias("raw"))
-    words = words.select("k", "feld", "row", F.col("raw").contains(JOINT).alias("broken"), F.translate("raw", JOINT, "").alias("wort"))
-    words = cut_lineage(words.groupBy("k", "feld", "row", "broken", "wort").agg(F.count(F.lit(1)).alias("times")))
-    known = cut_lineage(vocabulary(trusted, trusted_text))
-    unknown = words.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.sum("times").alias("times")).join(known, "wort", "left_anti")
-    unknown = cut_lineage(unknown.withColumn("s", skeleton(F.col("wort"))))
-    right = known.select(skeleton(F.col("wort")).alias("s"), F.col("wort").alias("right"), "n", F.lit(0).alias("own"))
-    right = right.unionByName(unknown.where("times >= 2").select("s", F.col("wort").alias("right"), F.col("times").alias("n"), F.lit(1).alias("own")))
-    pairs = unknown.join(right, "s").where("own = 0 or n > times")
-    pairs = pairs.withColumn("c", confusions("right", "wort")).where("c > 0")
-    fixes = cut_lineage(pairs.groupBy("wort").agg(F.min(F.struct("own", "c", -F.col("n"), "right")).alias("b")).select("wort", F.col("b.right").alias("right")))
-    corrected = words.join(fixes, "wort", "left")
-    found = corrected.where("broken or right is not null").select("k", "feld", F.lit("wort").alias("art"), F.coalesce("right", "wort").alias("wert"))
+    raw = F.transform(word_array(F.col("t"), token), lambda w: F.struct(w.contains(JOINT).alias("broken"), F.translate(w, JOINT, "").alias("w")))
+    beside = F.arrays_zip(F.transform("ws", lambda x: x["broken"]).alias("broken"), _beside(F.transform("ws", lambda x: x["w"])).alias("x"))
+    words = flowed.select("k", "feld", "row", raw.alias("ws")).select("k", "feld", "row", F.explode(beside).alias("z"))
+    words = words.select("k", "feld", "row", "z.broken", F.col("z.x.raw").alias("wort"), "z.x.l", "z.x.r")
+    trusted = trusted.select(composed(F.col(trusted_text)).alias("t"))
+    known = cut_lineage(vocabulary(trusted, "t").withColumn("s", skeleton(F.col("wort"))))
+    forms = cut_lineage(words.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.count(F.lit(1)).alias("times")))
+    forms = cut_lineage(forms.join(known.select("wort", F.col("n").alias("has")), "wort", "left").withColumn("s", skeleton(F.col("wort"))))
+    right = known.select("s", F.col("wort").alias("right"), "n", F.lit(0).alias("own"))
+    right = right.unionByName(forms.where("has is null and times >= 2").select("s", F.col("wort").alias("right"), F.col("times").alias("n"), F.lit(1).alias("own")))
+    pairs = forms.join(right, "s").where("right <> wort").where(f"(has is null and (own = 0 or n > times)) or (own = 0 and n >= {RATIO} * has)")
+    pairs = spread(pairs.select("wort", "right", "own", "n", F.col("has").isNotNull().alias("known"))).withColumn("c", confusions("right", "wort")).where("c > 0")
+    options = cut_lineage(pairs)
+    doubtful = words.join(options.select("wort").distinct(), "wort", "left_semi")
+    fixes = cut_lineage(_in_context(doubtful.select("wort", "l", "r").distinct(), options, trusted, "t"))
+    fixed = cut_lineage(doubtful.join(fixes, ["wort", "l", "r"]).select("k", "feld", "row", "wort", "l", "r", "right").distinct())
+    broken = words.where("broken").join(fixed.select("row", "wort", "l", "r", "right"), ["row", "wort", "l", "r"], "left").select("k", "feld", F.coalesce("right", "wort").alias("wert"))
+    found = fixed.select("k", "feld", F.col("right").alias("wert")).unionByName(broken).select("k", "feld", F.lit("wort").alias("art"), "wert")
     found = found.unionByName(page.select("k", "feld", F.lit("zeile").alias("art"), F.trim(F.regexp_replace("zeile", r"^\s+|\s+$", "")).alias("wert"))).distinct()
-    by_cell = words.where("not broken").join(fixes, "wort").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("wort", "right"))).alias("fix"))
-    by_cell = by_cell.unionByName(words.where("broken").join(fixes, "wort").join(by_cell.select("row"), "row", "left_anti").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("wort", "right"))).alias("fix")))
-    texts = flowed.select("k", "feld", "row", F.regexp_replace(F.translate("t", JOINT, ""), r"\s+", " ").alias("t")).join(by_cell, "row", "left")
-    return found.withColumnRenamed("k", key), texts.mapInPandas(_apply, texts.select("k", "feld", F.col("t").alias("text")).schema).withColumnRenamed("k", key)
-
-
-def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import regex
-
-    word = regex.compile(WORD)
-    for batch in batches:
-        text = [t if not isinstance(fix, dict) and not isinstance(fix, list) else word.sub(lambda m, f=dict(fix): f.get(m.group(), m.group()), t) for t, fix in zip(batch["t"], batch["fix"])]
-        yield pd.DataFrame({"k": batch["k"], "feld": batch["feld"], "text": text})
+    by_cell = fixed.groupBy("row").agg(F.collect_set(F.struct("wort", "l", "r", "right")).alias("fix"))
+    texts = flowed.select("k", "feld", "row", F.regexp_replace(F.translate("t", JOINT, ""), r"\s+", " ").alias("t"))
+    # the words of a text, their skeletons, and what to put in their places
+    texts = texts.join(by_cell, "row", "left").withColumn("ws", F.when(F.col("fix").isNotNull(), _beside(word_array(F.col("t")))))
+    chosen = F.transform("ws", lambda x: F.coalesce(F.get(F.filter("fix", lambda f: (f["wort"] == x["raw"]) & (f["l"] == x["l"]) & (f["r"] == x["r"])), F.lit(0))["right"], x["raw"]))
+    gaps = F.split("t", WORD, -1)
+    rebuilt = F.array_join(F.zip_with(gaps, chosen, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+    return found.withColumnRenamed("k", key), texts.select("k", "feld", F.when(F.col("fix").isNull(), F.col("t")).otherwise(rebuilt).alias("text")).withColumnRenamed("k", key)

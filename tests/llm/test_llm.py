@@ -136,6 +136,43 @@ def test_scans(spark):
     assert none[0].count() == 0 and none[1].count() == 0
 
 
+def test_repaired_text_has_what_was_found(spark):
+    """One cell with a misread word and one that is broken and misread; dots beside a vowel; page numbers of two kinds."""
+    text = "Grnndlagen der Markt-\nS. 112\nforschnng und der Pru¨fung.\n104 |\nEnde der Markt¬\nforschung"
+    typed = spark.createDataFrame([("Grundlagen der Marktforschung und der Prüfung. Ende",)] * 3, "t string")
+    found, texts = repair(spark.createDataFrame([(1, text)], "id long, inhalte string"), "id", ["inhalte"], typed, "t")
+    assert {(r.art, r.wert) for r in found.collect()} == {("zeile", "S. 112"), ("zeile", "104 |"), ("wort", "Grundlagen"), ("wort", "Marktforschung"), ("wort", "Prüfung")}
+    assert texts.first()["text"] == "Grundlagen der Marktforschung und der Prüfung. Ende der Marktforschung"
+
+
+def test_context_decides(spark):
+    """Rival forms of one skeleton, and a misreading that is a word itself, go by the words beside them."""
+    typed = ["Der Kunde nennt den Preis."] * 60 + ["Er kennt die Kante am Haus."] * 3 + ["Die Hans Bank"] * 3 + ["Am Haus steht er."] * 90
+    typed = spark.createDataFrame([(t,) for t in typed], "t string")
+    cells = {1: "Am Hans steht er.", 2: "Die Hans Bank", 3: "Der Knnde nennt", 4: "Hans"}
+    found, texts = repair(spark.createDataFrame(list(cells.items()), "id long, inhalte string"), "id", ["inhalte"], typed, "t")
+    assert {(r.id, r.wert) for r in found.collect()} == {(1, "Haus"), (3, "Kunde")}
+    assert {r.id: r.text for r in texts.collect()} == {1: "Am Haus steht er.", 2: "Die Hans Bank", 3: "Der Kunde nennt", 4: "Hans"}
+
+
+def test_confusions_in_short():
+    """What is left out at both ends changes nothing: compared with the whole table."""
+    from quercus.llm.scans import CONFUSIONS
+
+    def whole(right, seen):
+        if not right and not seen:
+            return 0
+        ways = [whole(right[1:], seen[1:])] if right and seen and right[0] == seen[0] else []
+        ways += [whole(right[len(a) :], seen[len(b) :]) + 1 for a, bs in CONFUSIONS.items() if right.startswith(a) for b in bs if seen.startswith(b)]
+        return min((w for w in ways if w < 99), default=99)
+
+    rng = random.Random(4)
+    for _ in range(4000):
+        a, b = ("".join(rng.choice("nurmhield") for _ in range(rng.randint(1, 5))) for _ in range(2))
+        w = whole(a, b)
+        assert _convertible(a, b) == (-1 if w >= 99 else w), (a, b)
+
+
 def test_scans_in_points(spark, tmp_path):
     page = "Handbuch Wirtschaft\n"
     rows = [(i, "scan", page + f"Grundlagen der Kosten Nummer {'abcdefgh'[i]}", page + "Sie kennen die Preise", "", page + "Berg: Recht") for i in range(8)]
