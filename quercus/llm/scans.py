@@ -22,6 +22,8 @@ HYPHEN = "[-\u00ad\u00ac\u2010]"
 NUMBERED = r"^[-–—|/i ]*#(?:[-–—|/.i ]+#)?[-–—|/i ]*$"
 #: How many times as frequent as a known word another must be for the known one to be maybe a misread form of it.
 RATIO = 20
+#: Hash values by which words are told apart before a shuffle.
+BUCKETS = 1 << 18
 #: Stands where a word was mended, between its halves or behind its umlaut, until the words are told apart.
 JOINT = "\ue002"
 #: A word: runs of letters and digits joined by single signs.
@@ -46,7 +48,7 @@ def composed(text: Column) -> Column:
     for mark, plain, whole in (("\u0308", "aouAOU", "äöüÄÖÜ"), ("\u0301", "eE", "éÉ"), ("\u0300", "aeAE", "àèÀÈ")):
         for a, b in zip(plain, whole):
             x = F.replace(x, F.lit(a + mark), F.lit(b))
-    return x
+    return F.when(text.rlike("[\u0300\u0301\u0308]"), x).otherwise(text)
 
 
 def line_mask(line: Column) -> Column:
@@ -127,9 +129,25 @@ def vocabulary(texts: DataFrame, column: str) -> DataFrame:
 
 
 def _beside(words: Column) -> Column:
-    """Every word of an array with the skeletons of its neighbours, ``""`` at the ends."""
-    at = lambda i: F.coalesce(skeleton(F.get(words, i)), F.lit(""))
-    return F.transform(words, lambda w, i: F.struct(w.alias("raw"), at(i - 1).alias("l"), at(i + 1).alias("r")))
+    """The words of an array, each as (raw, l, r) with its neighbours; the last entry has no word."""
+    none = F.array(F.lit(""))
+    behind = F.concat(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), none)
+    return F.arrays_zip(words.alias("raw"), F.concat(none, words).alias("l"), behind.alias("r"))
+
+
+def _only(arrays: DataFrame, words: str, wanted: DataFrame) -> DataFrame:
+    """Every word of the array column ``words`` that is one of ``wanted`` (w), as ``w, l, r`` with its neighbours.
+
+    Rows of other words end where they are read: a broadcast table of at most BUCKETS hash
+    values tells most of them, whatever the data. Neighbours are looked up for what is left.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    some = wanted.select(bucket("w").alias("bucket")).distinct()
+    others = [c for c in arrays.columns if c != words]
+    rows = arrays.select(*others, words, F.posexplode(words).alias("i", "w")).withColumn("bucket", bucket("w")).join(F.broadcast(some), "bucket", "left_semi")
+    beside = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    near = rows.select(*others, "w", F.when(F.col("i") > 0, beside(F.col("i") - 1)).otherwise("").alias("l"), beside(F.col("i") + 1).alias("r"))
+    return near.join(wanted.select("w").distinct(), "w", "left_semi")
 
 
 def _in_context(cases: DataFrame, options: DataFrame, trusted: DataFrame, column: str) -> DataFrame:
@@ -137,17 +155,19 @@ def _in_context(cases: DataFrame, options: DataFrame, trusted: DataFrame, column
 
     ``cases`` (wort, l, r) are the words with what stands beside them, ``options`` (wort,
     right, own, c, n, known) the forms each may be. Support of a form is how often trusted
-    texts have it beside these neighbours. A form that has support goes before those
-    without; then fewer confusions, more support, more occurrences, the smaller form. A
-    word that is itself known is given up only for a form that has support where it has none.
+    texts have it beside neighbours of these skeletons, as neighbours may be misread, too. A
+    form that has support goes before those without; then fewer confusions, more support,
+    more occurrences, the smaller form. A word that is itself known is given up only for a
+    form that has support where it has none.
     """
-    forms = options.select(F.col("right").alias("w")).unionByName(options.where("known").select(F.col("wort").alias("w"))).distinct()
-    beside = trusted.select(F.explode(_beside(word_array(F.col(column)))).alias("x")).select(F.col("x.raw").alias("w"), "x.l", "x.r").join(forms, "w", "left_semi")
-    left = beside.where("l <> ''").groupBy("w", "l").agg(F.count(F.lit(1)).alias("nl"))
-    right = beside.where("r <> ''").groupBy("w", "r").agg(F.count(F.lit(1)).alias("nr"))
+    forms = options.select(F.col("right").alias("w")).unionByName(options.where("known").select(F.col("wort").alias("w")))
+    beside = _only(trusted.select(word_array(F.col(column)).alias("ws")), "ws", forms)
+    beside = cut_lineage(beside.select(F.col("w").alias("right"), skeleton(F.col("l")).alias("sl"), skeleton(F.col("r")).alias("sr")))
+    left = beside.where("sl <> ''").groupBy("right", "sl").agg(F.count(F.lit(1)).alias("nl"))
+    right = beside.where("sr <> ''").groupBy("right", "sr").agg(F.count(F.lit(1)).alias("nr"))
     own = options.where("known").select("wort", F.col("wort").alias("right"), F.lit(0).alias("own"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("n")).distinct()
-    tried = cases.join(options.select("wort", "right", "own", "c", "n").unionByName(own), "wort")
-    tried = tried.join(left.withColumnRenamed("w", "right"), ["right", "l"], "left").join(right.withColumnRenamed("w", "right"), ["right", "r"], "left")
+    tried = cases.withColumn("sl", skeleton(F.col("l"))).withColumn("sr", skeleton(F.col("r"))).join(options.select("wort", "right", "own", "c", "n").unionByName(own), "wort")
+    tried = tried.join(left, ["right", "sl"], "left").join(right, ["right", "sr"], "left")
     support = F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0))
     order = F.struct((support == 0).alias("alone"), "own", "c", (-support).alias("s"), (-F.col("n")).alias("n"), "right")
     best = tried.groupBy("wort", "l", "r").agg(F.min(order).alias("b"), F.max(F.when(F.col("c") == 0, support)).alias("self"))
@@ -200,29 +220,32 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     flowed = cut_lineage(flowed)
     # JOINT marks a mended word; neighbours are those of the mended text
     token = WORD.replace(r"\p{N}", rf"\p{{N}}{JOINT}")
-    raw = F.transform(word_array(F.col("t"), token), lambda w: F.struct(w.contains(JOINT).alias("broken"), F.translate(w, JOINT, "").alias("w")))
-    beside = F.arrays_zip(F.transform("ws", lambda x: x["broken"]).alias("broken"), _beside(F.transform("ws", lambda x: x["w"])).alias("x"))
-    words = flowed.select("k", "feld", "row", raw.alias("ws")).select("k", "feld", "row", F.explode(beside).alias("z"))
-    words = words.select("k", "feld", "row", "z.broken", F.col("z.x.raw").alias("wort"), "z.x.l", "z.x.r")
+    tokens = flowed.select("k", "feld", "row", word_array(F.col("t"), token).alias("ws"))
+    plain = lambda c: F.translate(c, JOINT, "")
+    single = tokens.select(F.explode("ws").alias("wort")).select(plain("wort").alias("wort"))
+    # words that were mended, with their neighbours
+    broken = tokens.where(F.array_join("ws", " ").contains(JOINT)).select("k", "feld", "row", F.explode(_beside(F.col("ws"))).alias("x")).where(F.col("x.raw").contains(JOINT))
+    broken = broken.select("k", "feld", "row", *[plain(f"x.{a}").alias(b) for a, b in (("raw", "wort"), ("l", "l"), ("r", "r"))])
     trusted = trusted.select(composed(F.col(trusted_text)).alias("t"))
     known = cut_lineage(vocabulary(trusted, "t").withColumn("s", skeleton(F.col("wort"))))
-    forms = cut_lineage(words.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.count(F.lit(1)).alias("times")))
+    forms = cut_lineage(single.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.count(F.lit(1)).alias("times")))
     forms = cut_lineage(forms.join(known.select("wort", F.col("n").alias("has")), "wort", "left").withColumn("s", skeleton(F.col("wort"))))
     right = known.select("s", F.col("wort").alias("right"), "n", F.lit(0).alias("own"))
     right = right.unionByName(forms.where("has is null and times >= 2").select("s", F.col("wort").alias("right"), F.col("times").alias("n"), F.lit(1).alias("own")))
     pairs = forms.join(right, "s").where("right <> wort").where(f"(has is null and (own = 0 or n > times)) or (own = 0 and n >= {RATIO} * has)")
     pairs = spread(pairs.select("wort", "right", "own", "n", F.col("has").isNotNull().alias("known"))).withColumn("c", confusions("right", "wort")).where("c > 0")
     options = cut_lineage(pairs)
-    doubtful = words.join(options.select("wort").distinct(), "wort", "left_semi")
+    unmarked = flowed.select("k", "feld", "row", word_array(plain("t")).alias("ws"))
+    doubtful = cut_lineage(_only(unmarked, "ws", options.select(F.col("wort").alias("w"))).withColumnRenamed("w", "wort").distinct())
     fixes = cut_lineage(_in_context(doubtful.select("wort", "l", "r").distinct(), options, trusted, "t"))
-    fixed = cut_lineage(doubtful.join(fixes, ["wort", "l", "r"]).select("k", "feld", "row", "wort", "l", "r", "right").distinct())
-    broken = words.where("broken").join(fixed.select("row", "wort", "l", "r", "right"), ["row", "wort", "l", "r"], "left").select("k", "feld", F.coalesce("right", "wort").alias("wert"))
+    fixed = cut_lineage(doubtful.join(fixes, ["wort", "l", "r"]).select("k", "feld", "row", "wort", "l", "r", "right"))
+    broken = broken.join(fixed.select("row", "wort", "l", "r", "right"), ["row", "wort", "l", "r"], "left").select("k", "feld", F.coalesce("right", "wort").alias("wert"))
     found = fixed.select("k", "feld", F.col("right").alias("wert")).unionByName(broken).select("k", "feld", F.lit("wort").alias("art"), "wert")
     found = found.unionByName(page.select("k", "feld", F.lit("zeile").alias("art"), F.trim(F.regexp_replace("zeile", r"^\s+|\s+$", "")).alias("wert"))).distinct()
     by_cell = fixed.groupBy("row").agg(F.collect_set(F.struct("wort", "l", "r", "right")).alias("fix"))
     texts = flowed.select("k", "feld", "row", F.regexp_replace(F.translate("t", JOINT, ""), r"\s+", " ").alias("t"))
-    # the words of a text, their skeletons, and what to put in their places
-    texts = texts.join(by_cell, "row", "left").withColumn("ws", F.when(F.col("fix").isNotNull(), _beside(word_array(F.col("t")))))
+    # the words of a text that has fixes, and what to put in their places
+    texts = texts.join(by_cell, "row", "left").withColumn("ws", F.when(F.col("fix").isNotNull(), F.filter(_beside(word_array(F.col("t"))), lambda x: x["raw"].isNotNull())))
     chosen = F.transform("ws", lambda x: F.coalesce(F.get(F.filter("fix", lambda f: (f["wort"] == x["raw"]) & (f["l"] == x["l"]) & (f["r"] == x["r"])), F.lit(0))["right"], x["raw"]))
     gaps = F.split("t", WORD, -1)
     rebuilt = F.array_join(F.zip_with(gaps, chosen, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
