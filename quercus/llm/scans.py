@@ -237,8 +237,13 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     options = cut_lineage(pairs)
     unmarked = flowed.select("k", "feld", "row", word_array(plain("t")).alias("ws"))
     doubtful = cut_lineage(_only(unmarked, "ws", options.select(F.col("wort").alias("w"))).withColumnRenamed("w", "wort").distinct())
-    fixes = cut_lineage(_in_context(doubtful.select("wort", "l", "r").distinct(), options, trusted, "t"))
-    fixed = cut_lineage(doubtful.join(fixes, ["wort", "l", "r"]).select("k", "feld", "row", "wort", "l", "r", "right"))
+    # a word that can be but one form needs no context
+    ways = options.groupBy("wort").agg(F.count(F.lit(1)).alias("ways"), F.min("right").alias("right"), F.max("known").alias("known"))
+    settled = ways.where("ways = 1 and not known").select("wort", "right")
+    rivals = cut_lineage(options.join(settled, "wort", "left_anti"))
+    fixes = _in_context(doubtful.select("wort", "l", "r").distinct(), rivals, trusted, "t")
+    fixed = doubtful.join(fixes, ["wort", "l", "r"]).unionByName(doubtful.join(settled, "wort"))
+    fixed = cut_lineage(fixed.select("k", "feld", "row", "wort", "l", "r", "right"))
     broken = broken.join(fixed.select("row", "wort", "l", "r", "right"), ["row", "wort", "l", "r"], "left").select("k", "feld", F.coalesce("right", "wort").alias("wert"))
     found = fixed.select("k", "feld", F.col("right").alias("wert")).unionByName(broken).select("k", "feld", F.lit("wort").alias("art"), "wert")
     found = found.unionByName(page.select("k", "feld", F.lit("zeile").alias("art"), F.trim(F.regexp_replace("zeile", r"^\s+|\s+$", "")).alias("wert"))).distinct()
