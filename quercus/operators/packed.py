@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus.session import spread
@@ -51,11 +53,22 @@ DIALECTS: dict[str, tuple[re.Pattern | None, float]] = {
     "a)": (re.compile(r"(?:^|(?<=\s))\(?([a-z])\)(?=\s)"), 4.0),
     "any": (re.compile(r"(?:\r\n|\r|\n)(?!(?:  |\t)\s*[^\s\-–—•▪·*])|;|\|{1,2}|\t"), 4.0),
 }
+#: Signs of which a cell needs one to be parted by a dialect.
+HINTS = {
+    "line": "\r\n", "blank": "\r\n", "semicolon": ";", "comma": ",", "pipe": "|", "slash": "/", "plus": "+", "tab": "\t", "bullet": "•▪·●■◦‣", "dash": "-–*", "box": ["[*]"],
+    "(1)": ["(1)"], "[1]": ["[1]"], "1.": ["1."], "1)": ["1)"], "a)": ["a)"], "any": "\r\n;|\t",
+}
+ENCLOSING = re.compile("[()\\[\\]" + "".join(QUOTES) + "]")
 TOKEN = re.compile(r"\w+(?:-\w+)*-?|[^\w\s]")
 
 
+#: Tokens of a value's start and end that its signatures look at, and of the shorter signature.
+STARTS, ENDS, SHORT = 3, 3, 2
+
+
+@lru_cache(maxsize=65_536)
 def shape(token: str) -> str:
-    """One of few classes: a signature of three tokens has a bounded alphabet."""
+    """One of some forty classes: so signatures of at most three tokens are of a bounded number."""
     if token[0].isalpha():
         if token[0].islower():
             return token if token in ("und", "der", "die", "des", "im", "in", "zur", "zu", "von", "für", "bei", "mit") else "x"
@@ -65,12 +78,24 @@ def shape(token: str) -> str:
     return token if token in ".,:;()&/-–\"'„“?!%" else "?"
 
 
-def start_signature(value: str, n: int = 4) -> str:
-    return " ".join(shape(t) for t in TOKEN.findall(value[:120])[:n])
+def first_shapes(value: str) -> list[str]:
+    return [shape(m.group()) for m in islice(TOKEN.finditer(value), STARTS)]
+
+
+def last_shapes(value: str) -> list[str]:
+    size = 64
+    while True:
+        # with more tokens than are wanted, the first of which may be cut, the last ones are whole
+        found = TOKEN.findall(value[-size:])
+        if len(found) > ENDS or size >= len(value):
+            return list(map(shape, found[-ENDS:]))
+        size *= 8
 
 
-def end_signature(value: str, n: int = 3) -> str:
-    return " ".join(shape(t) for t in TOKEN.findall(value[-120:])[-n:])
+def signatures(value: str) -> tuple[str, str, str, str]:
+    """How a value starts and ends, each long and short."""
+    a, b = first_shapes(value), last_shapes(value)
+    return " ".join(a), " ".join(a[:SHORT]), " ".join(b), " ".join(b[-SHORT:])
 
 
 def protected(text: str) -> bytearray:
@@ -78,36 +103,45 @@ def protected(text: str) -> bytearray:
     start of a word and must close before one ends; an opening sign without its partner
     protects nothing."""
     mask = bytearray(len(text))
-    i, n = 0, len(text)
-    while i < n:
-        closing = QUOTES.get(text[i])
+    opened = -1
+    stack: list[tuple[str, int]] = []
+    brackets = []
+    for m in ENCLOSING.finditer(text):
+        i, sign = m.start(), m.group()
+        if i <= opened:
+            continue
+        closing = QUOTES.get(sign)
         if closing and (i == 0 or not text[i - 1].isalnum()):
-            j = i + 1
-            while j < n:
-                if text[j] in closing:
-                    if text[i] == '"' and j + 1 < n and text[j + 1] == '"':
-                        j += 2
-                        continue
-                    break
-                j += 1
-            if j < n:
+            j = closing_quote(text, i, closing)
+            if j:
                 mask[i : j + 1] = b"\1" * (j + 1 - i)
-                i = j + 1
+                opened = j
                 continue
-        i += 1
-    stack: list[tuple[str, int]] = []
-    for i, c in enumerate(text):
-        if mask[i]:
-            continue
-        if c in "([":
-            stack.append((c, i))
-        elif c in ")]" and stack and stack[-1][0] == "(["[c == "]"]:
+        if sign in "()[]":
+            brackets.append((i, sign))
+    for i, sign in brackets:
+        if sign in "([":
+            stack.append((sign, i))
+        elif stack and stack[-1][0] == "(["[sign == "]"]:
             _, j = stack.pop()
             if not stack:
                 mask[j : i + 1] = b"\1" * (i + 1 - j)
     return mask
 
 
+def closing_quote(text: str, at: int, closing: str) -> int:
+    """Where the quote that opens at ``at`` closes, 0 if nowhere; a doubled straight quote is a sign of the text."""
+    j = at + 1
+    while j < len(text):
+        j = min((k for k in (text.find(c, j) for c in closing) if k >= 0), default=-1)
+        if j < 0:
+            return 0
+        if text[at] != '"' or text[j + 1 : j + 2] != '"':
+            return j
+        j += 2
+    return 0
+
+
 def strip_value(raw: str) -> str:
     """A value without marks, enclosing quotes and separators; white space as one blank."""
     v = " ".join(raw.split()).strip(";|\t ")
@@ -129,7 +163,7 @@ def strip_value(raw: str) -> str:
 def parts_of(text: str, dialect: str, mask: bytearray) -> list[tuple[int, int]]:
     """Where the parts of a cell lie under a dialect."""
     separator, _ = DIALECTS[dialect]
-    if separator is None:
+    if separator is None or not any(h in text for h in HINTS[dialect]):
         return [(0, len(text))]
     at, parts, expected = 0, [], None
     for m in separator.finditer(text):
@@ -157,18 +191,24 @@ class Codes:
     def __init__(self, counts: list[tuple[str, str, str, int]]):
         self.n: dict[tuple[str, str], int] = {}
         self.c: dict[tuple[str, str, str], int] = {}
+        self.known: dict[tuple[str, str, str], float] = {}
         for field, kind, signature, n in counts:
             self.c[field, kind, signature] = n
             self.n[field, kind] = self.n.get((field, kind), 0) + n
 
     def bits(self, field: str, kind: str, long: str, short: str) -> float:
+        known = self.known.get((field, kind, long))
+        if known is not None:
+            return known
+
         def share(k: str, s: str) -> float:
             return self.c.get((field, k, s), 0) / self.n.get((field, k), 1)
 
         p = 0.75 * share(kind, long) + 0.25 * share(kind + "1", short)
         # what few cells have not shown is no news: it costs little more than the rarest thing they have
         unseen = min(UNSEEN, 5.0 + log2(self.n.get((field, kind), 0) + 1))
-        return min(unseen, -log2(p)) if p > 0 else unseen
+        self.known[field, kind, long] = bits = min(unseen, -log2(p)) if p > 0 else unseen
+        return bits
 
     def residue(self, field: str, sign: str) -> float:
         """Bits of a sign left inside a value: by how often it stands among the words of cells separated by others."""
@@ -178,12 +218,8 @@ class Codes:
         return min(RESIDUE, max(-log2((seen + 0.01) / (words + 1)), 0.0 if sign == "," else LEAST_RESIDUE))
 
     def length(self, field: str, value: str) -> float:
-        return (
-            CHAR * len(value)
-            + VALUE
-            + self.bits(field, "s", start_signature(value), start_signature(value, 2))
-            + self.bits(field, "e", end_signature(value), end_signature(value, 2))
-        )
+        start, start1, end, end1 = signatures(value)
+        return CHAR * len(value) + VALUE + self.bits(field, "s", start, start1) + self.bits(field, "e", end, end1)
 
 
 def best_parse(field: str, text: str, codes: Codes) -> tuple[str, list[str]]:
@@ -208,10 +244,17 @@ def best_parse(field: str, text: str, codes: Codes) -> tuple[str, list[str]]:
         if parts in seen:
             continue
         seen.add(parts)
-        found = [p for p in (priced(a, b) for a, b in parts) if p[0]]
-        cost = named + sum(bits for _, bits in found) + (len(found) * 0.1 if name == "any" else 0)
-        if found and (best is None or cost < best[0]):
-            best = (cost, name, [v for v, _ in found])
+        cost, found = named, []
+        for a, b in parts:
+            v, bits = priced(a, b)
+            if v:
+                cost += bits + (0.1 if name == "any" else 0)
+                found.append(v)
+                if best is not None and cost >= best[0]:
+                    break
+        else:
+            if found:
+                best = (cost, name, found)
     return best[1:] if best else ("one", [])
 
 
@@ -220,8 +263,8 @@ def count_cell(field: str, text: str, counts: dict[tuple[str, str, str], int]) -
     pieces = [v for v in map(strip_value, re.split(r"[\r\n]+", text)) if v]
     if not pieces:
         return
-    first, last = pieces[0], pieces[-1]
-    seen = [("s", start_signature(first)), ("s1", start_signature(first, 2)), ("e", end_signature(last)), ("e1", end_signature(last, 2))]
+    first, last = signatures(pieces[0]), signatures(pieces[-1])
+    seen = [("s", first[0]), ("s1", first[1]), ("e", last[2]), ("e1", last[3])]
     if STRONG.search(text.strip()):
         mask = protected(text)
         seen += [("r", m.group()) for m in STRUCTURE.finditer(text) if m.group() in LEARNED and not mask[m.start()]]
@@ -235,7 +278,8 @@ def boundary_counts(cells: DataFrame) -> DataFrame:
 
     The first value of a cell starts where the cell starts and the last ends where it
     ends, whatever the dialect, so these counts need no parse. They are aggregated
-    map-side; signatures are tuples of at most four of some thirty classes.
+    map-side; signatures are tuples of at most three of some forty classes, so there are
+    fewer than 70,000 a field and kind whatever the data.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +293,6 @@ def boundary_counts(cells: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "feld string, art string, sig string, n bigint").groupBy("feld", "art", "sig").agg(F.sum("n").alias("n"))
 
 
-#: Signatures kept per field and end: the most frequent. A rarer one costs UNSEEN bits or
-#: nearly so; the bound keeps the model's size independent of the data.
-SIGNATURES = 20_000
-
-
 def unpack(df: DataFrame, key: str, fields: list[str], least: int = 2) -> DataFrame:
     """One row per value of every packed cell: ``key, feld, pos, wert, dialekt``.
 
@@ -266,7 +305,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], least: int = 2) -> DataFr
     ``pos`` counts from 1. Only cells with at least ``least`` values are returned.
 
     Scale: two passes over the cells, no shuffle of texts but one to spread them; the
-    model that is broadcast has at most SIGNATURES rows per field and kind.
+    model that is broadcast has all signatures, which are of a bounded number (see ``shape``).
 
     Defined cases: null, empty and blank cells, and cells of marks only, give no rows;
     text in quotes or matched brackets is not split; an unmatched quote or bracket
@@ -278,9 +317,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], least: int = 2) -> DataFr
     kind = df.schema[key].dataType.simpleString()
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("feld"), F.col(f).alias("text")) for f in fields]))
     cells = df.select(F.col(key).alias("k"), named.alias("c")).select("k", "c.feld", "c.text").where("trim(text) <> ''")
-    rank = F.row_number().over(Window.partitionBy("feld", "art").orderBy(F.desc("n"), "sig"))
-    kept = boundary_counts(cells.select("feld", "text")).withColumn("r", rank).where(F.col("r") <= SIGNATURES).drop("r")
-    model = df.sparkSession.sparkContext.broadcast([tuple(r) for r in kept.collect()])
+    model = df.sparkSession.sparkContext.broadcast([tuple(r) for r in boundary_counts(cells.select("feld", "text")).collect()])
     built: dict[int, Codes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

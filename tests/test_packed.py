@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quercus.operators.packed import Codes, best_parse, count_cell, parse, protected, strip_value, unpack
+from quercus.operators.packed import Codes, best_parse, count_cell, parse, protected, signatures, strip_value, unpack
 
 SCHEMA = "zeile_id long, inhalte string, k string, feld int"
 LIST = ["Grundlagen der Preisbildung", "Übungen zur Zinsrechnung", "Bezug zu Recht (qualitativ; quantitativ)", "A/B-Test im Handel"]
@@ -67,3 +67,9 @@ def test_nothing_is_lost(text):
     letters = [c for c in text if c in "ab"]
     assert [c for v in values for c in v if c in "ab"] == letters or any(c in text for c in "1([")
     assert all(v == v.strip() and v for v in values)
+
+
+def test_signatures_of_long_tokens():
+    value = "x" * 300 + " und " + "Y" * 500 + " (9) " + "z" * 400
+    assert signatures(value) == ("x und Xx", "x und", "9 ) x", ") x")
+    assert signatures("") == ("", "", "", "")
