@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quercus.session import cut_lineage
+from quercus.llm.ranges import running_size
 
 #: Documents in a block of a source, on average: the unit of the distributed running sum.
 BLOCK = 5_000
@@ -48,7 +42,7 @@ def fair_mix(
     Scale: running sums are taken per block - a hash range of a source, about BLOCK
     documents - and offset by the sums of the blocks before, so a source with a third of
     all rows is no single task; the global running size goes by ranges of a global sort,
-    see ``running_size``. The targets are as many rows as there are sources and are broadcast.
+    see ``ranges.running_size``. The targets are as many rows as there are sources and are broadcast.
 
     Defined cases: null sources or sources without target are not used; null or
     non-positive sizes are not used (nothing to share); a null key is not used; a null,
@@ -84,32 +78,6 @@ def fair_mix(
     )
 
 
-def running_size(rows: DataFrame, order: list[str], size: str, into: str) -> DataFrame:
-    """``rows`` with the running sum of ``size`` in the order of ``order``, over all of them.
-
-    The rows are sorted globally: ranges whose bounds are sampled quantiles of the order, so
-    that each holds about as many rows however the values lie, sorted within and kept in the
-    shared folder. Every range is summed once; the driver gets one number a range, and each
-    task adds the sum of the ranges before it while it runs through its rows.
-    """
-    ranged = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    part = F.spark_partition_id()
-    sums = {r["part"]: r["sum"] for r in ranged.groupBy(part.alias("part")).agg(F.sum(size).alias("sum")).collect()}
-    before, total = {}, 0
-    for p in sorted(sums):
-        before[p], total = total, total + sums[p]
-    at = ranged.columns.index(size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        so_far = before.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
-            sums = np.cumsum(batch.column(at).to_numpy(zero_copy_only=False)) + so_far
-            so_far = int(sums[-1]) if len(sums) else so_far
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, into])
-
-    return ranged.mapInArrow(run, T.StructType([*ranged.schema.fields, T.StructField(into, T.LongType())]))
-
-
 def shares(
     mix: DataFrame,
     docs: DataFrame,

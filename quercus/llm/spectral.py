@@ -7,13 +7,17 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quercus.llm.components import hash_to_min
-from quercus.session import cut_lineage
+from quercus.llm.components import hash_to_min, with_least
+from quercus.llm.ranges import numbered
+from quercus.session import cut_lineage, fingerprint
 
-#: Vectors iterated at once, rounds of the iteration, rounds between two checkpoints.
+#: Vectors iterated at once, rounds of the iteration, rounds between two looks at what is tight.
 VECTORS, ROUNDS, EVERY = 4, 18, 6
-#: Widest distance of a member from its k-means centre, of vectors that start in [0, 1).
-RADIUS = 0.06
+#: Widest distance of a member from its k-means centre. The embedding is scaled so that a
+#: weak bridge parts a component by about 1 whatever its size, see ``embedding``.
+RADIUS = 0.5
+#: Rounds of k-means after which centres count as stable (they are after a few).
+LLOYD = 40
 # Phrases that link a point to the text before it, in German running text.
 LINKING = ["behandelt wird", "thema ist", "hinzu kommt", "ferner", "außerdem", "weiterhin"]
 
@@ -48,7 +52,7 @@ def affinities(tokens: DataFrame, overlap: float = 0.4) -> tuple[DataFrame, Data
     """
     sets = tokens.groupBy("k").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     sets = cut_lineage(sets.withColumn("h", F.xxhash64("ts", F.size("ts"))))
-    members = sets.select("k", "h").join(sets.groupBy("h").agg(F.min("k").alias("rep")), "h").select("k", "rep")
+    members = with_least(sets.select(F.col("h").alias("v"), F.col("k").alias("u")), sets.count()).select(F.col("u").alias("k"), F.col("m").alias("rep"))
     reps = sets.groupBy("h").agg(F.min("k").alias("rep"), F.first("ts").alias("ts")).select("rep", "ts")
     reps = cut_lineage(reps)
     flat = reps.select("rep", F.explode("ts").alias("t"))
@@ -80,54 +84,99 @@ def _vector(i: int) -> Column:
     return F.pmod(F.xxhash64("v", F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def power_iteration(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``v, x0..``: VECTORS random vectors after ``rounds`` steps of the lazy random walk.
+NAMES = [f"x{i}" for i in range(VECTORS)]
+#: Deviation of the start values, which are even in [0, 1).
+START = 12**-0.5
 
-    A step takes half of a vertex's own value and half of the mean of its neighbours',
-    weighted by affinity: the row-normalised affinity matrix, applied to all vectors in one
-    join and one aggregation. Inside a well-knit cluster values become equal, across a
-    weak bridge they stay apart.
-    """
+
+def walk_steps(edges: DataFrame) -> DataFrame:
+    """``v, u, p``: the lazy random walk, the row-normalised sparse affinities: half of a step stays."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "w").unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"), "w"))
     degree = both.groupBy("v").agg(F.sum("w").alias("d"))
-    # the half a vertex keeps is an edge to itself: a step uses the vectors once, so plans grow by a join a step
-    steps = both.join(degree, "v").select("v", "u", (F.col("w") / F.col("d") / 2).alias("p")).unionByName(degree.select("v", F.col("v").alias("u"), F.lit(0.5).alias("p")))
-    steps = cut_lineage(steps)
-    names = [f"x{i}" for i in range(VECTORS)]
-    x = cut_lineage(degree.select("v", *[_vector(i).alias(n) for i, n in enumerate(names)]))
-    for i in range(rounds):
-        x = steps.join(x.withColumnRenamed("v", "u"), "u").groupBy("v").agg(*[F.sum(F.col("p") * F.col(n)).alias(n) for n in names])
-        if i % EVERY == EVERY - 1:
-            x = cut_lineage(x)
-    return x
-
-
-def embed_and_split(edges: DataFrame, splits: int = 4) -> DataFrame:
-    """``v, cluster``: k-means on the power-iteration embedding.
-
-    The eigenvectors of the walk are constant on components, so centres of one component
-    are never near to members of another, and members meet only their component's
-    centres. k-means starts with one centre a component - its mean - and adds a centre,
-    at the member farthest away, wherever a cluster is wider than RADIUS; then members go
-    to the nearest centre and centres to their means. After ``splits`` rounds members stay
-    in their cluster and choose between its two centres only: both keep a member, as a mean
-    is never beyond the middle of all of them, so it ends, when no cluster is too wide.
+    return both.join(degree, "v").select("v", "u", (F.col("w") / F.col("d") / 2).alias("p")).unionByName(degree.select("v", F.col("v").alias("u"), F.lit(0.5).alias("p")))
+
+
+def embedding(edges: DataFrame, parts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``v, part, x0..``: VECTORS random vectors after ``rounds`` steps of the lazy walk, centred and scaled.
+
+    A step gives every vertex half of its own value and half of the mean of its neighbours',
+    weighted by affinity, for all vectors in one join and one aggregation. The walk's
+    eigenvectors of value 1 are the components (``parts``: v, part): in each the values
+    tend to one mean. What is left of them beside it is the slow eigenvectors: with m
+    vertices, values that start with deviation s and a second eigenvalue l it is about
+    ``s * l^rounds / sqrt(m)``. So values are taken relative to their component's mean, times
+    ``sqrt(m) / s``: nought inside a well-knit component, about 1 on either side of a weak bridge.
+
+    The range of values within a component never grows. One whose range, thus scaled, is
+    under RADIUS after some rounds would be no cluster to split after all of them, and is not
+    walked further; its vertices lie at nought.
     """
-    names = [f"x{i}" for i in range(VECTORS)]
-    x = power_iteration(edges).join(hash_to_min(edges, "a", "b").select(F.col("key").alias("v"), F.col("gruppe").alias("part")), "v")
-    x = cut_lineage(x.withColumn("c", F.col("part").cast("string")))
-    for done in count():
-        centres = x.groupBy("part", "c").agg(*[F.avg(n).alias(f"c{n}") for n in names])
-        spread = sum((F.col(n) - F.col(f"c{n}")) ** 2 for n in names)
-        far = x.join(centres, ["part", "c"]).select("*", F.sqrt(spread).alias("r")).groupBy("part", "c").agg(F.max(F.struct("r", "v", *names)).alias("f")).where(F.col("f.r") > RADIUS)
-        far = cut_lineage(far.select("part", F.col("c").alias("of"), F.concat_ws(".", F.col("f.v").cast("string"), F.lit(done)).alias("c"), *[F.col(f"f.{n}").alias(f"c{n}") for n in names]))
-        if far.isEmpty():
+    size = parts.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    steps = cut_lineage(walk_steps(edges).join(parts, "v"))
+    x = cut_lineage(parts.select("v", "part", *[_vector(i).alias(n) for i, n in enumerate(NAMES)]))
+    tight = None
+    for done in range(EVERY, rounds + EVERY, EVERY):
+        for _ in range(min(EVERY, rounds - done + EVERY)):
+            x = steps.join(x.select(F.col("v").alias("u"), *NAMES), "u").groupBy("v", "part").agg(*[F.sum(F.col("p") * F.col(n)).alias(n) for n in NAMES])
+        x = cut_lineage(x)
+        if done >= rounds:
+            break
+        width = F.sqrt(sum((F.max(n) - F.min(n)) ** 2 for n in NAMES)).alias("width")
+        loose = x.groupBy("part").agg(width).join(size, "part").where(F.col("width") * F.sqrt("m") / START > RADIUS).select("part")
+        loose = cut_lineage(loose)
+        still = x.join(loose, "part", "left_anti").select("v", "part")
+        tight = cut_lineage(still) if tight is None else cut_lineage(tight.unionByName(still))
+        x, steps = cut_lineage(x.join(loose, "part", "left_semi")), cut_lineage(steps.join(loose, "part", "left_semi"))
+        if loose.isEmpty():
             break
-        all_centres = centres.withColumn("of", F.col("c")).unionByName(far)
-        meets = x.drop("c").join(all_centres, "part") if done < splits else x.withColumnRenamed("c", "of").join(all_centres, ["part", "of"])
-        near = meets.groupBy("v").agg(F.min(F.struct(spread.alias("r"), "c")).alias("n")).select("v", F.col("n.c").alias("c"))
-        x = cut_lineage(x.drop("c").join(near, "v"))
-    return x.select("v", F.concat_ws(" ", F.col("part").cast("string"), "c").alias("cluster"))
+    means = x.groupBy("part").agg(*[F.avg(n).alias(f"m{n}") for n in NAMES]).join(size, "part")
+    out = x.join(means, "part").select("v", "part", *[((F.col(n) - F.col(f"m{n}")) * F.sqrt("m") / START).alias(n) for n in NAMES])
+    return out if tight is None else out.unionByName(tight.select("v", "part", *[F.lit(0.0).alias(n) for n in NAMES]))
+
+
+def _distance(prefix: str) -> Column:
+    return F.sqrt(sum((F.col(n) - F.col(f"{prefix}{n}")) ** 2 for n in NAMES))
+
+
+def k_means(x: DataFrame) -> DataFrame:
+    """``v, cluster`` of an embedding (v, part, x0..): k-means, the number of clusters found on the way.
+
+    Vertices of different components are never near one another - their eigenvectors of
+    value 1 differ - so all components are clustered at once, each with one centre to begin
+    with. Wherever a cluster is wider than RADIUS, two centres are seeded from the embedding:
+    the member farthest from the centre, and the member farthest from that one. Members go to
+    the nearer centre, centres to the mean of their members, until no member moves. Then
+    widths are looked at again; it ends when no cluster is too wide, as both seeds keep a
+    member. A member meets two centres a round, however many there are.
+    """
+    wide = x.withColumn("c", F.col("part").cast("string"))
+    done = None
+    for depth in count():
+        centre = wide.groupBy("part", "c").agg(*[F.avg(n).alias(f"c{n}") for n in NAMES])
+        far = wide.join(centre, ["part", "c"]).groupBy("part", "c").agg(F.max(F.struct(_distance("c").alias("r"), *NAMES, "v")).alias("f")).where(F.col("f.r") > RADIUS)
+        far = cut_lineage(far.select("part", "c", *[F.col(f"f.{n}").alias(f"a{n}") for n in NAMES]))
+        narrow = wide.join(far.select("part", "c"), ["part", "c"], "left_anti").select("v", "part", "c")
+        done = cut_lineage(narrow) if done is None else cut_lineage(done.unionByName(narrow))
+        if far.isEmpty():
+            return done.select("v", F.concat_ws(" ", F.col("part").cast("string"), "c").alias("cluster"))
+        other = wide.join(far, ["part", "c"]).groupBy("part", "c").agg(F.max(F.struct(_distance("a").alias("r"), *NAMES, "v")).alias("f"))
+        centres = far.join(other.select("part", "c", *[F.col(f"f.{n}").alias(f"b{n}") for n in NAMES]), ["part", "c"])
+        sides, before = wide, None
+        for _ in range(LLOYD):
+            sides = cut_lineage(wide.join(centres, ["part", "c"]).select("v", "part", "c", *NAMES, (_distance("b") < _distance("a")).alias("b")))
+            now = fingerprint(sides.where("b"), "v")
+            if now == before:
+                break
+            before = now
+            means = [F.avg(F.when(F.col("b") if s == "b" else ~F.col("b"), F.col(n))).alias(f"{s}{n}") for s in "ab" for n in NAMES]
+            centres = sides.groupBy("part", "c").agg(*means)
+        wide = cut_lineage(sides.select("v", "part", *NAMES, F.concat("c", F.lit(f".{depth}"), F.when(F.col("b"), "b").otherwise("a")).alias("c")))
+
+
+def embed_and_split(edges: DataFrame) -> DataFrame:
+    """``v, cluster``: k-means on the power-iteration embedding of a graph (a, b, w)."""
+    parts = cut_lineage(hash_to_min(edges, "a", "b").select(F.col("key").alias("v"), F.col("gruppe").alias("part")))
+    return k_means(cut_lineage(embedding(edges, parts)))
 
 
 def spectral_clusters(tokens: DataFrame) -> DataFrame:
@@ -139,8 +188,8 @@ def spectral_clusters(tokens: DataFrame) -> DataFrame:
     having 1; ties by k), from 1 for the most typical.
 
     Records with the same points are one vertex and share its cluster; a vertex without
-    edges is a cluster if it stands for several records. Ranks are counted by cluster: the
-    internal affinity is aggregated, never collected.
+    edges is a cluster if it stands for several records. The internal affinity is
+    aggregated and ranks are counted over a global sort: no task holds a cluster.
 
     Defined cases: records without points are in no cluster; null tokens and keys are
     ignored; repeated rows of ``tokens`` count once; an empty table gives no rows.
@@ -157,5 +206,5 @@ def spectral_clusters(tokens: DataFrame) -> DataFrame:
     rows = members.join(clusters.withColumnRenamed("v", "rep"), "rep", "left").join(affinity, "rep", "left")
     rows = cut_lineage(rows.select("k", F.coalesce("cluster", F.concat(F.lit("="), F.col("rep").cast("string"))).alias("cluster"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
     groups = rows.groupBy("cluster").agg(F.min("k").alias("gruppe"), F.count(F.lit(1)).alias("groesse")).where("groesse > 1")
-    order = Window.partitionBy("gruppe").orderBy(F.desc("inner"), "k")
-    return rows.join(groups, "cluster").select("k", "gruppe", "groesse", F.row_number().over(order).alias("rang"))
+    ranked = numbered(rows.join(groups, "cluster").select("k", "gruppe", "groesse", (-F.col("inner")).alias("outer")), "gruppe", ["outer", "k"], "rang")
+    return ranked.select("k", "gruppe", "groesse", F.col("rang").cast("int").alias("rang"))

@@ -15,10 +15,11 @@ from quercus.llm import quality as Q
 from quercus.llm import tokenise as T
 from quercus.llm.components import hash_to_min, with_least
 from quercus.llm.distinctive import least_weight, log_entropy
-from quercus.llm.mixing import fair_mix, running_size, shares
+from quercus.llm.mixing import fair_mix, shares
+from quercus.llm.ranges import numbered, running_size
 from quercus.llm.queries import QUERIES, _module_points
 from quercus.llm.scans import _convertible, repair
-from quercus.llm.spectral import affinities, embed_and_split, point_tokens, spectral_clusters
+from quercus.llm.spectral import affinities, embed_and_split, embedding, point_tokens, spectral_clusters
 from quercus.llm.sql import SQL
 from tests.oracle import compare, connect
 
@@ -320,6 +321,52 @@ def test_affinities_whole(spark):
     assert len(want) > 300 and got.keys() == want.keys() and all(abs(got[p] - w) < 1e-9 for p, w in want.items())
 
 
+def clique(vertices, w=0.8):
+    return [(a, b, w + 0.001 * ((a * 7 + b) % 50)) for a in vertices for b in vertices if a < b]
+
+
+def test_weak_bridge_is_split(spark):
+    """The embedding decides: two dense families joined by a weak bridge are one component and two
+    clusters, whatever their size; a dense family, a pair and a chain of three stay whole."""
+    edges = [e for n, start in ((5, 0), (40, 100)) for e in clique(range(start, start + n)) + clique(range(start + n, start + 2 * n)) + [(start, start + n, 0.4)]]
+    edges += clique(range(300, 330), 0.4) + [(400, 401, 0.4), (500, 501, 0.9), (501, 502, 0.4)]
+    got = defaultdict(set)
+    for r in embed_and_split(spark.createDataFrame(edges, "a long, b long, w double")).collect():
+        got[r.cluster].add(r.v)
+    want = [range(5), range(5, 10), range(100, 140), range(140, 180), range(300, 330), range(400, 402), range(500, 503)]
+    assert sorted(map(sorted, got.values())) == sorted(map(list, want))
+    assert len(hash_to_min(spark.createDataFrame(edges, "a long, b long, w double"), "a", "b").select("gruppe").distinct().collect()) == 5
+
+
+def test_tight_components_end_early(spark, monkeypatch):
+    """What is left out of later rounds would be no cluster to split after all of them."""
+    edges = clique(range(12)) + clique(range(20, 26)) + clique(range(30, 36)) + [(20, 30, 0.4), (50, 51, 0.5)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    parts = hash_to_min(df, "a", "b").selectExpr("key AS v", "gruppe AS part")
+    early = {r.v: r for r in embedding(df, parts).collect()}
+    monkeypatch.setattr("quercus.llm.spectral.EVERY", 18)
+    whole = {r.v: r for r in embedding(df, parts).collect()}
+    assert early.keys() == whole.keys()
+    for v, r in whole.items():
+        if v < 20 or v >= 50:
+            assert early[v].x0 == 0.0 and math.dist(r[2:], [0] * 4) < 0.5
+        else:
+            assert all(abs(a - b) < 1e-9 for a, b in zip(early[v][2:], r[2:]))
+
+
+def test_numbers_over_ranges(spark, plain_plans):
+    rng = random.Random(9)
+    rows = [(g, rng.randrange(50), i) for i, g in enumerate([3] * 3000 + [rng.randrange(40) for _ in range(3000)])]
+    got = numbered(spark.createDataFrame(rows, "g long, o long, i long"), "g", ["o", "i"], "n")
+    assert max(partitions(got)) < 2000
+    want, seen = {}, Counter()
+    for g, o, i in sorted(rows):
+        seen[g] += 1
+        want[i] = seen[g]
+    assert {r.i: r.n for r in got.collect()} == want
+    assert numbered(spark.createDataFrame([], "g long, o long"), "g", ["o"], "n").count() == 0
+
+
 def test_split_to_the_end(spark, monkeypatch):
     # a chain of 20: one component, far more clusters than four rounds make
     monkeypatch.setattr("quercus.llm.spectral.RADIUS", 0.0)
