@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quercus.session import cut_lineage, fingerprint
 
+#: So many rows any task holds, hub or not.
+PLAIN = 500_000
 #: A vertex in more than 1/HOT of the rows is hot; there are fewer than HOT of them, whatever the data.
 HOT = 2048
 
@@ -16,8 +18,10 @@ def with_least(sets: DataFrame, rows: int) -> DataFrame:
 
     The least member is aggregated map-side. To a hot vertex it comes by broadcast - fewer
     than HOT rows - so its rows stay in the tasks that hold them; only the others are
-    shuffled for the join.
+    shuffled for the join. Up to PLAIN rows in all, one join is less work.
     """
+    if rows <= PLAIN:
+        return sets.join(sets.groupBy("v").agg(F.min("u").alias("m")), "v")
     least = sets.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
     hot = least.where(F.col("n") * HOT > rows).select("v", "m")
     marked = sets.join(F.broadcast(hot), "v", "left")
