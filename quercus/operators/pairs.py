@@ -16,20 +16,19 @@ def pair_universe(entities: DataFrame, key: str) -> DataFrame:
     return e.select(F.col(key).alias("a")).join(e.select(F.col(key).alias("b")), F.col("a") < F.col("b"))
 
 
-def query_pairs(entities: DataFrame, key: str, divisor: int = 20) -> DataFrame:
-    """Query rows (key divisible by ``divisor``) against all others: the stated query set of a search."""
-    e = entities.select(key).where(F.col(key).isNotNull()).distinct()
-    return e.where(F.col(key) % divisor == 0).select(F.col(key).alias("a")).join(e.select(F.col(key).alias("b")), F.col("a") != F.col("b"))
+def zscores(pairs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Standard scores of ``columns`` (value: name of its score) over all pairs by population deviation;
+    nulls are skipped, a deviation of 0 counts as 1.
 
+    One partial aggregation to a single row for all of them, which is broadcast: no shuffle of the pairs.
+    """
+    stats = pairs.agg(*[f(c).alias(f"_{k}{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = {z: (F.col(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s{c}")) for c, z in columns.items()}
+    return pairs.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*stats.columns)
 
-def zscore(pairs: DataFrame, value: str, into: str) -> DataFrame:
-    """Standard score over all pairs by population deviation; nulls are skipped, a deviation of 0 counts as 1.
 
-    One partial aggregation to a single row, which is broadcast: no shuffle of the pairs.
-    """
-    stats = pairs.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    scaled = (F.col(value) - F.col("_m")) / F.when(F.col("_s") == 0, F.lit(1.0)).otherwise(F.col("_s"))
-    return pairs.crossJoin(F.broadcast(stats)).withColumn(into, scaled).drop("_m", "_s")
+def zscore(pairs: DataFrame, value: str, into: str) -> DataFrame:
+    return zscores(pairs, {value: into})
 
 
 def combine(values: dict[str, float], none: float | None = None):

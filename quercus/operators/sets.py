@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.functions.text import indel_ratio
@@ -17,16 +17,21 @@ def item_idf(items: DataFrame, entity: str, item: str) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select(item, "df", (F.log(F.col("_n") / F.col("df")) + 1.0).alias("idf"))
 
 
-def shared_items(items: DataFrame, entity: str, item: str) -> DataFrame:
-    """``a, b, item, df, idf`` for a < b: an equi-join on the item.
+def rarest_shared(items: DataFrame, entity: str, item: str, n: int) -> DataFrame:
+    """``a, b, rang, item, df`` for a < b: the ``n`` rarest items that each pair shares, ties by item.
 
-    The work is the sum over items of the pairs of entities that have it; meant for
-    entities of a bounded number, where it is at most a constant per item.
+    For entities of a bounded number. Items with the same owners are alike to every pair, so
+    only the n first of each set of owners can be among a pair's n rarest (they have one
+    df): what fans out to pairs is bounded by the sets of owners, not by the items.
     """
-    idf = item_idf(items, entity, item)
-    sets = items.select(F.col(entity).alias("e"), F.col(item).alias("i")).where("e is not null and i is not null").distinct()
-    both = sets.join(sets.withColumnRenamed("e", "f"), "i").where("e < f")
-    return both.join(idf.withColumnRenamed(item, "i"), "i").select(F.col("e").alias("a"), F.col("f").alias("b"), F.col("i").alias(item), "df", "idf")
+    distinct = items.select(F.col(entity).alias("e"), F.col(item).alias("i")).where("e is not null and i is not null").distinct()
+    owners = distinct.groupBy("i").agg(F.sort_array(F.collect_list("e")).alias("es")).where(F.size("es") > 1)
+    first = Window.partitionBy("es").orderBy("i")
+    owners = owners.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)
+    left = owners.select("i", "es", F.posexplode("es").alias("k", "a"))
+    each = left.select("a", F.explode(F.slice("es", F.col("k") + 2, F.size("es"))).alias("b"), "i", F.size("es").cast("bigint").alias("df"))
+    order = Window.partitionBy("a", "b").orderBy("df", "i")
+    return each.withColumn("rang", F.row_number().over(order)).where(F.col("rang") <= n).select("a", "b", "rang", F.col("i").alias(item), "df")
 
 
 def idf_dice(pairs: DataFrame, items: DataFrame, entity: str, item: str) -> DataFrame:

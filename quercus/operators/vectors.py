@@ -61,13 +61,14 @@ def top_terms(weights: DataFrame, entity: str, n: int = 25) -> DataFrame:
     return weights.withColumn("rang", F.row_number().over(w)).where(F.col("rang") <= n)
 
 
-def point_matches(points: DataFrame, queries: DataFrame, key: str, group: str, vector: str, block: int = 512) -> DataFrame:
-    """``q, gruppe_a, gruppe_b, best, p``: for each query point the best point of every other group.
+def point_matches(points: DataFrame, queries: DataFrame, key: str, group: str, vector: str, best: int = 1, block: int = 512) -> DataFrame:
+    """``q, gruppe_a, gruppe_b, p, wert``: for each query point its ``best`` nearest points of every other group.
 
     Queries are dealt into blocks of ``block`` vectors; every block meets the points
     partition by partition as one matrix product (numpy, in Arrow batches) which yields
-    its best per query and group, and partial bests are reduced by an aggregation. Neither
-    side is collected: blocks of queries are joined to partitions of points.
+    its best per query and group, and partial bests are reduced by a window that is cut
+    before the shuffle. Neither side is collected: blocks of queries are joined to
+    partitions of points, the stated query set against all.
     """
     blocks = queries.select(F.col(key).alias("q"), F.col(group).alias("ga"), F.col(vector).alias("v")).where("q is not null and v is not null")
     blocks = blocks.withColumn("blk", F.floor(F.col("q") / block)).groupBy("blk").agg(F.collect_list(F.struct("q", "ga", "v")).alias("qs"))
@@ -83,40 +84,49 @@ def point_matches(points: DataFrame, queries: DataFrame, key: str, group: str, v
                     continue
                 ps.sort(key=lambda x: x["p"])
                 sims = np.array([q["v"] for q in qs], dtype=np.float64) @ np.array([p["v"] for p in ps], dtype=np.float64).T
-                best = sims.argmax(axis=1)
-                out["q"] += [q["q"] for q in qs]
-                out["ga"] += [q["ga"] for q in qs]
-                out["gb"] += [gb] * len(qs)
-                out["s"] += sims.max(axis=1).tolist()
-                out["p"] += [ps[i]["p"] for i in best]
+                near = np.argsort(-sims, axis=1, kind="stable")[:, :best]
+                n = near.shape[1]
+                out["q"] += [q["q"] for q in qs for _ in range(n)]
+                out["ga"] += [q["ga"] for q in qs for _ in range(n)]
+                out["gb"] += [gb] * len(qs) * n
+                out["s"] += np.take_along_axis(sims, near, axis=1).ravel().tolist()
+                out["p"] += [ps[i]["p"] for i in near.ravel()]
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.float64() if k == "s" else pa.int32() if k in ("ga", "gb") else pa.int64()) for k, v in out.items()})
 
     met = blocks.crossJoin(parts).select("qs", "gb", "ps").mapInArrow(run, "q long, ga int, gb int, s double, p long")
-    return met.groupBy("q", F.col("ga").alias("gruppe_a"), F.col("gb").alias("gruppe_b")).agg(F.max("s").alias("best"), F.max_by("p", F.struct("s", -F.col("p"))).alias("p"))
+    # sums of doubles differ in their last digits: ties are told apart at ten
+    order = Window.partitionBy("q", "gb").orderBy(F.desc(F.round("s", 10)), "p")
+    kept = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= best)
+    return kept.select("q", F.col("ga").alias("gruppe_a"), F.col("gb").alias("gruppe_b"), "p", F.col("s").alias("wert"))
 
 
 def alignment(matches: DataFrame) -> DataFrame:
     """``a, b, wert``, a < b: the mean best match of either side's query points, both sides averaged.
     Null unless both sides have query points."""
-    side = matches.groupBy("gruppe_a", "gruppe_b").agg(F.avg("best").alias("m"))
+    side = matches.groupBy("gruppe_a", "gruppe_b").agg(F.avg("wert").alias("m"))
     one = side.select(F.col("gruppe_a").alias("a"), F.col("gruppe_b").alias("b"), F.col("m").alias("ma"))
     two = side.select(F.col("gruppe_b").alias("a"), F.col("gruppe_a").alias("b"), F.col("m").alias("mb"))
     return one.join(two, ["a", "b"]).where("a < b").select("a", "b", ((F.col("ma") + F.col("mb")) / 2).alias("wert"))
 
 
+def centroids(points: DataFrame, group: str, vector: str) -> DataFrame:
+    """``group, mitte``: the mean vector of every group, from one map-side combined aggregation by place."""
+    places = points.where(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return places.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mitte"))
+
+
 def greedy_matches(candidates: DataFrame, n: int = 3) -> DataFrame:
     """``a, b, rang, s, x, y``: the best one-to-one matches of each pair, greedily from the top.
 
-    ``candidates`` (a, b, s, x, y). A match is at most the n-th of its pair, and only
-    2n - 1 partners can stand before it at x or at y, so candidates are first cut to the
-    best 2n - 1 of each x and of each y; the fold then sees a bounded list.
+    ``candidates`` (a, b, s, x, y). When the k-th match is taken, k - 1 of either side are
+    taken already, so only the n best partners of each x and of each y can matter; the
+    n-th match of a pair is among its best n * n of these. The fold sees a bounded list.
     """
-    most = 2 * n - 1
     wx = Window.partitionBy("a", "b", "x").orderBy(F.desc("s"), "y")
     wy = Window.partitionBy("a", "b", "y").orderBy(F.desc("s"), "x")
     wp = Window.partitionBy("a", "b").orderBy(F.desc("s"), "x", "y")
-    kept = candidates.withColumn("_x", F.row_number().over(wx)).where(F.col("_x") <= most).withColumn("_y", F.row_number().over(wy)).where(F.col("_y") <= most)
-    kept = kept.withColumn("_p", F.row_number().over(wp)).where(F.col("_p") <= n * most * 2)
+    kept = candidates.withColumn("_x", F.row_number().over(wx)).where(F.col("_x") <= n).withColumn("_y", F.row_number().over(wy)).where(F.col("_y") <= n)
+    kept = kept.withColumn("_p", F.row_number().over(wp)).where(F.col("_p") <= 2 * n * n)
     listed = kept.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("m"), "x", "y"))).alias("c"))
     free = lambda acc, c: ~F.exists(acc, lambda t: (t["x"] == c["x"]) | (t["y"] == c["y"])) & (F.size(acc) < n)
     kind = listed.schema["c"].dataType.simpleString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``cut_lineage`` uses, for files that another job reads again."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut_lineage(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def fingerprint(df: DataFrame, *cols: str) -> tuple[int, int]:
     """Row count and order-free hash of the rows, to see whether a relation changed."""
     row = df.agg(
