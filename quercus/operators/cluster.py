@@ -54,39 +54,40 @@ def order_of(n: int, merges: list[tuple[int, int, float]], base: list[int]) -> l
     return [i for part in sorted(leaves.values(), key=lambda p: min(rank[i] for i in p)) for i in part]
 
 
-def linkage(pairs: DataFrame, value: str, caps: tuple[int, ...], digits: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Merges ``cap, schritt, a, b, c, wert`` and leaf orders ``cap, platz, id`` of a bounded set of entities.
+def linkage(pairs: DataFrame, value: str, caps: tuple[int, ...], digits: int = 4) -> DataFrame:
+    """``cap, schritt, a, b, c, wert, platz, id``: merges and leaf orders of a bounded set of entities.
 
-    ``pairs`` (a, b, value) of positions 0 to n - 1. The work per cap is sequential by nature
-    and quadratic in n; caps run in parallel, one group each. Values are rounded first, so
-    that ties are ties on every machine.
+    ``pairs`` (a, b, value) of positions 0 to n - 1. The pairs go to one task, are solved
+    there for every cap - sequential by nature, quadratic in n - and come back as both kinds
+    of row: a merge has schritt, a leaf's place has platz. Values are rounded first, so that
+    ties are ties on every machine. ``merges_of`` and ``order_rows`` tell them apart.
     """
-    rows = pairs.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.round(F.col(value), digits).alias("v"))
-    each = rows.withColumn("cap", F.explode(F.array(*[F.lit(c) for c in caps])))
+    rows = pairs.select(F.lit(0).alias("g"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.round(F.col(value), digits).alias("v"))
 
-    def solve(pdf: pd.DataFrame) -> tuple[int, int, list, list]:
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(max(pdf["a"].max(), pdf["b"].max())) + 1
         m = np.full((n, n), np.nan)
         m[pdf["a"], pdf["b"]] = pdf["v"]
         m[pdf["b"], pdf["a"]] = pdf["v"]
-        cap = int(pdf["cap"].iloc[0])
-        merges = link(n, m, cap)
-        free = merges if cap == 0 else link(n, m, 0)
-        return cap, n, merges, order_of(n, merges, order_of(n, free, list(range(n))))
+        free = link(n, m, 0)
+        base = order_of(n, free, list(range(n)))
+        out = []
+        for cap in caps:
+            merges = link(n, m, cap) if cap else free
+            out += [(cap, k, a, b, n + k, s, None, None) for k, (a, b, s) in enumerate(merges)]
+            out += [(cap, None, None, None, None, None, r, i) for r, i in enumerate(order_of(n, merges, base))]
+        frame = pd.DataFrame(out, columns=["cap", "schritt", "a", "b", "c", "wert", "platz", "id"])
+        return frame.astype({c: "Int32" for c in frame.columns if c != "wert"})
+
+    return rows.groupBy("g").applyInPandas(solve, "cap int, schritt int, a int, b int, c int, wert double, platz int, id int")
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        cap, n, merges, _ = solve(pdf)
-        return pd.DataFrame([(cap, k, a, b, n + k, s) for k, (a, b, s) in enumerate(merges)], columns=["cap", "schritt", "a", "b", "c", "wert"])
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        cap, _, _, order = solve(pdf)
-        return pd.DataFrame([(cap, r, i) for r, i in enumerate(order)], columns=["cap", "platz", "id"])
+def merges_of(linked: DataFrame) -> DataFrame:
+    return linked.where("schritt is not null").select("cap", "schritt", "a", "b", "c", "wert")
 
-    groups = each.groupBy("cap")
-    return (
-        groups.applyInPandas(merged, "cap int, schritt int, a int, b int, c int, wert double"),
-        groups.applyInPandas(ordered, "cap int, platz int, id int"),
-    )
+
+def order_rows(linked: DataFrame) -> DataFrame:
+    return linked.where("platz is not null").select("cap", "platz", "id")
 
 
 def cut(merges: DataFrame, n: int, k: int) -> DataFrame:
@@ -127,8 +128,9 @@ def spanning_tree(pairs: DataFrame, group: str, value: str) -> DataFrame:
             return x
 
         kept = []
-        for i, r in pdf.sort_values(["wert", "a", "b"], ascending=[False, True, True]).iterrows():
-            x, y = find(r["a"]), find(r["b"])
+        ranked = pdf.sort_values(["wert", "a", "b"], ascending=[False, True, True])
+        for i, a, b in zip(ranked.index, ranked["a"].tolist(), ranked["b"].tolist()):
+            x, y = find(a), find(b)
             if x != y:
                 root[x] = y
                 kept.append(i)
@@ -144,6 +146,21 @@ def inside_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where("cluster = _c").drop("_c")
 
 
+def centrality(members: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """``id, cluster, naehe``: the mean similarity of each member to the others of its cluster, null if alone."""
+    inside = inside_pairs(members, pairs)
+    ends = inside.select(F.col("a").alias("id"), value).unionByName(inside.select(F.col("b").alias("id"), value))
+    return members.join(ends.groupBy("id").agg(F.avg(value).alias("naehe")), "id", "left").select("id", "cluster", "naehe")
+
+
+def grid(order: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """``zeile, spalte, wert``: the similarity grid with rows and columns in leaf order, both halves, no diagonal."""
+    both = pairs.select("a", "b", value).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), value))
+    row = order.select(F.col("id").alias("a"), F.col("platz").alias("zeile"))
+    column = order.select(F.col("id").alias("b"), F.col("platz").alias("spalte"))
+    return both.join(row, "a").join(column, "b").select("zeile", "spalte", F.col(value).alias("wert"))
+
+
 def summary(members: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
     """``cluster, groesse, mittel, nr``: size, mean similarity inside, and number - clusters of several first, then by mean."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("groesse"), F.min("id").alias("kopf"))
@@ -179,11 +196,9 @@ def tidy_labels(terms: list[tuple[str, int]], most: int = 8) -> list[tuple[str,
 
 
 def labels(shared: DataFrame, most: int = 8) -> DataFrame:
-    """``cluster, begriffe``: the tidied terms of each cluster. Only the 64 best candidates of a
-    cluster can matter for ``most`` of them, so the list that is folded is bounded."""
-    w = Window.partitionBy("cluster").orderBy(F.desc("gewicht"), "term")
-    best = shared.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 64)
-    listed = best.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("r", "term", "anzahl"))).alias("t"))
+    """``cluster, begriffe``: the tidied terms of each cluster. A cluster has a capped number of
+    members with a bounded number of terms each, so its list is bounded, too."""
+    listed = shared.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct((-F.col("gewicht")).alias("m"), "term", "anzahl"))).alias("t"))
 
     @F.pandas_udf("array<struct<term:string,anzahl:bigint>>")
     def fold(lists: pd.Series) -> pd.Series:

@@ -129,9 +129,9 @@ def unmatrix(wide: DataFrame, key: str, value: str) -> DataFrame:
     return long.join(wide.select(F.col(key).alias("b")), "b", "left_semi").where("a < b").select("a", "b", value)
 
 
-def slots(members: DataFrame, group: str, order: str, columns: list[str], least: int = 3) -> DataFrame:
+def slots(members: DataFrame, group: str, order: list[str], columns: list[str], least: int = 3) -> DataFrame:
     """Members of each group side by side: ``group, slot1_x, slot1_y, …`` for as many slots as the largest group has."""
-    w = Window.partitionBy(group).orderBy(order)
+    w = Window.partitionBy(group).orderBy(*order)
     placed = members.withColumn("slot", F.row_number().over(w))
     most = max(least, placed.agg(F.max("slot")).first()[0] or 0)
     return placed.groupBy(group).pivot("slot", list(range(1, most + 1))).agg(*[F.first(c).alias(c) for c in columns])

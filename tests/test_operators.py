@@ -118,7 +118,9 @@ def test_linkage(cap):
 def test_linkage_example(spark):
     s = [[1, 0.9, 0.1, 0.1], [0.9, 1, 0.1, 0.1], [0.1, 0.1, 1, 0.8], [0.1, 0.1, 0.8, 1]]
     pairs = spark.createDataFrame([(i, j, s[i][j]) for i, j in itertools.combinations(range(4), 2)], "a int, b int, s double")
-    merges = C.linkage(pairs, "s", (2, 0))[0]
+    linked = C.linkage(pairs, "s", (2, 0))
+    merges = C.merges_of(linked)
+    assert sorted(r.id for r in C.order_rows(linked).where("cap = 2").collect()) == [0, 1, 2, 3]
     got = [(r.cap, r.a, r.b, round(r.wert, 3)) for r in merges.orderBy("cap", "schritt").collect()]
     assert got == [(0, 0, 1, 0.9), (0, 2, 3, 0.8), (0, 4, 5, 0.1), (2, 0, 1, 0.9), (2, 2, 3, 0.8)]
     cut = {(r.cap, r.id): r.cluster for r in C.cut(merges, 4, 1).collect()}

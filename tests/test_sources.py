@@ -91,7 +91,7 @@ def test_matrix(spark):
 
 def test_slots_and_observed(spark, tmp_path):
     m = spark.createDataFrame([(1, 5, "x"), (1, 4, "y"), (2, 9, "z")], "g int, o int, n string")
-    r = {x.g: x for x in T.slots(m, "g", "o", ["n"]).collect()}
+    r = {x.g: x for x in T.slots(m, "g", ["o"], ["n"]).collect()}
     assert (r[1]["1"], r[1]["2"], r[1]["3"]) == ("y", "x", None)
     df, o = T.observed(m, "s")
     T.write_json(df.selectExpr("struct(g, n) AS d"), "d", str(tmp_path / "j"))
