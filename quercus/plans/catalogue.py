@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quercus.plans import clusters, packed, records, similarity
+from quercus.plans import clusters, packed, records, similarity, sources
 
-QUERIES = {**packed.QUERIES, **similarity.QUERIES, **records.QUERIES, **clusters.QUERIES}
+QUERIES = {**packed.QUERIES, **similarity.QUERIES, **records.QUERIES, **clusters.QUERIES, **sources.QUERIES}

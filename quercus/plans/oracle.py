@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quercus.plans import clusters, records, similarity
+from quercus.plans import clusters, records, similarity, sources
 
-SQL = {**similarity.SQL, **records.SQL, **clusters.SQL}
+SQL = {**similarity.SQL, **records.SQL, **clusters.SQL, **sources.SQL}

@@ -88,6 +88,11 @@ def sheet_rows(data: bytes, sheet: str) -> list[list[str | None]]:
 
 def read_workbook(spark: SparkSession, path: str, sheet: str, columns: list[str]) -> DataFrame:
     """Sheets of workbooks as all-string rows; header cells are trimmed, one task per file."""
+    return parse_workbooks(spark.read.format("binaryFile").load(path), "content", sheet, columns)
+
+
+def parse_workbooks(files: DataFrame, content: str, sheet: str, columns: list[str]) -> DataFrame:
+    """The rows of the workbooks in a binary column, as ``read_workbook`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,11 +106,59 @@ def read_workbook(spark: SparkSession, path: str, sheet: str, columns: list[str]
                 out += [[r[names.index(c)] if names.index(c) < len(r) else None for c in columns] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(len(columns))], columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+    return files.select(content).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def workbook(sheet: str, columns: list[str], rows: list[list[str | None]]) -> bytes:
+    """A workbook of one sheet of text cells, written with the standard library; a null is no cell."""
+    import io
+    from xml.sax.saxutils import escape, quoteattr
+
+    def letters(n: int) -> str:
+        return (letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+    def line(r: int, cells: list[str | None]) -> str:
+        shown = (f'<c r="{letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(x, {chr(13): "&#13;"})}</t></is></c>' for c, x in enumerate(cells) if x is not None)
+        return f'<row r="{r}">{"".join(shown)}</row>'
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{link}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{link}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{link}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{''.join(line(i, r) for i, r in enumerate([columns, *rows], 1))}</sheetData></worksheet>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{text}')
+    return out.getvalue()
+
+
+def workbooks(df: DataFrame, block, sheet: str) -> DataFrame:
+    """``block, content``: a workbook for each value of the column expression ``block``, of bounded blocks of rows."""
+    import pandas as pd
+
+    columns = df.columns
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[None if x is None or x != x else str(x) for x in r] for r in pdf[columns].itertuples(index=False)]
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "content": [workbook(sheet, columns, rows)]})
+
+    return df.withColumn("block", block).groupBy("block").applyInPandas(write, "block bigint, content binary")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, one a line, by a schema; what is absent is null."""
+    return spark.read.schema(schema).json(path)
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
-    """All cells quoted, CRLF, byte-order mark before the header, for spreadsheet programs."""
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """All cells quoted, CRLF, byte-order mark before the header, for spreadsheet programs; one file only where a small table is wanted so."""
     first, *rest = df.columns
     out = df.withColumnRenamed(first, "\ufeff" + first)
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
