@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,15 +16,30 @@ TITLE_STOPS = ["der", "die", "das", "den", "dem", "des", "ein", "eine", "einer",
 PLAIN = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
+ARTEFACTS = [
+    r"LEHR- UND LERNEINHEITEN PRÄSENZZEIT SELBSTSTUDIUM\s+[^\n]+?\s+\d+\s+\d+\s*", r"(?m)^\s*-?\s*(?:LERNEINHEITEN UND INHALTE|LEHR- UND LERNEINHEITEN)\s*", r"(?m)^Stand vom \d{2}\.\d{2}\.\d{4}\s*$",
+    r"W3M\d{5} // Seite \d+", r"\[/?list\]",
+]
+#: Marks that stand behind the letter they belong to.
+MARKS = "[\u0300-\u036f]"
+
+
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; the one cleaning step without a built-in function."""
     return text.map(lambda s: unicodedata.normalize("NFC", s) if s is not None else None)
 
 
+def compose(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a column composed (NFC). Only rows that have marks of their own leave the JVM."""
+    marked = F.coalesce(F.col(column).rlike(MARKS), F.lit(False))
+    return df.where(~marked).unionByName(df.where(marked).withColumn(column, nfc(column)))
+
+
 def clean_text(text: Column) -> Column:
     """Bullets unified, exotic blanks plain, soft hyphens and hooks gone, lines collapsed and
-    trimmed, bare bullets and empty lines dropped. Null stays null. See ``nfc`` for composition."""
+    trimmed, page artefacts, bare bullets and empty lines dropped. Null stays null. See ``compose``
+    for composition, which comes before."""
     x = text
     for vowel, umlaut in zip("aouAOU", "äöüÄÖÜ"):  # a dieresis that was left beside its vowel
         x = F.replace(x, F.lit(vowel + "¨"), F.lit(umlaut))
@@ -33,6 +48,8 @@ def clean_text(text: Column) -> Column:
     x = F.regexp_replace(x, "\r\n?", "\n")
     x = F.regexp_replace(x, r"[  -   　\t]", " ")
     x = F.regexp_replace(x, r"\[\*\]", "\n• ")
+    for artefact in ARTEFACTS:
+        x = F.regexp_replace(x, artefact, "\n")
     lines = F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, " +", " ")))
     lines = F.transform(lines, lambda s: F.regexp_replace(s, r"^(?:[-–•▪*?] ?)(?=\S)", "- "))
     return F.array_join(F.filter(lines, lambda s: ~s.rlike(r"^[-–•▪*?]?$")), "\n")
@@ -158,10 +175,6 @@ def clip(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(cut == "", F.substring(text, 1, most)).otherwise(cut), F.lit(" …")))
 
 
-def first_year(text: Column) -> Column:
-    return F.regexp_extract(text, r"\b((?:19|20)\d\d)\b", 1)
-
-
 def subsequence_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the usual table as the bits of one number."""
     places: dict[str, int] = {}

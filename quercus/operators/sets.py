@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.functions.text import indel_ratio
-from quercus.session import cut_lineage, fingerprint
+from quercus.session import cut_lineage, fingerprint, spread
 
 
 def item_idf(items: DataFrame, entity: str, item: str) -> DataFrame:
@@ -73,20 +73,51 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFr
     raise RuntimeError("components: not stable")
 
 
+#: Titles of one author from which candidates meet by their segments instead of all with all.
+MANY = 200
+
+
+def _segment_pairs(k: DataFrame, threshold: float) -> DataFrame:
+    """``k, title, k2, title2`` of authors with many titles: pairs that can have an indel ratio of ``threshold``.
+
+    A ratio of t means at most (1 - t / 100) (la + lb) insertions and losses. The longer title
+    is cut into one segment more than that many; one of them stands unchanged in the other,
+    shifted by no more places. Segments meet by author, length, number, place and characters.
+    """
+    slack = 1.0 - threshold / 100.0
+    rows = k.select("author", "k", "title", F.length("title").alias("n"))
+    shortest = F.ceil(F.col("n") * (threshold / (200.0 - threshold)) - 1e-9).cast("int")
+    # edits allowed to the longest pair of this length, and the segments they leave
+    edits = F.floor(F.lit(2.0 * slack) * F.col("l") + 1e-9).cast("int")
+    size = F.greatest(F.floor(F.col("l") / (edits + 1)), F.lit(1)).cast("int")
+    index = rows.withColumn("l", F.col("n")).withColumn("e", edits).withColumn("w", size).select("author", "k", "title", "l", "w", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("i"))
+    index = index.select("author", "l", "i", F.substr("title", F.col("i") * F.col("w") + 1, F.col("w")).alias("seg"), F.col("k").alias("k2"), F.col("title").alias("title2"))
+    probe = rows.select("author", "k", "title", "n", F.explode(F.sequence(F.col("n"), F.ceil(F.col("n") / (threshold / (200.0 - threshold)) + 1e-9).cast("int"))).alias("l"))
+    probe = probe.withColumn("e", edits).withColumn("w", size).select("author", "k", "title", "n", "l", "e", "w", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("i"))
+    place = F.col("i") * F.col("w")
+    probe = probe.select("author", "k", "title", "l", "i", "w", F.explode(F.sequence(F.greatest(place - F.col("e"), F.lit(0)), F.greatest(place - F.col("e"), F.least(place + F.col("e"), F.col("n") - F.col("w")), F.lit(0)))).alias("at"))
+    probe = probe.select("author", "k", "title", "l", "i", F.substr("title", F.col("at") + 1, F.col("w")).alias("seg")).distinct()
+    return probe.join(index, ["author", "l", "i", "seg"]).where("k <> k2").select("k", "title", "k2", "title2").distinct()
+
+
 def canonical_keys(keys: DataFrame, key: str, threshold: float = 88.0) -> DataFrame:
     """``key, kanon``: keys of one author whose title parts are nearly the same, as the smallest of them.
 
     Candidates meet in an equi-join on the author part and a band of title lengths: an
     indel ratio of t needs the shorter title to have t / (200 - t) of the longer's length.
-    Keys without a title part stay alone.
+    Of authors with more than MANY titles (as works without one) only those meet that share
+    a segment, which loses none. Keys without a title part stay alone.
     """
     k = keys.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).distinct()
-    k = k.select("k", F.substring_index("k", "_", 1).alias("author"), F.regexp_extract("k", r"^[^_]*_(.*)$", 1).alias("title")).where("title <> ''")
-    other = k.select(F.col("k").alias("k2"), "author", F.col("title").alias("title2"))
+    k = cut_lineage(k.select("k", F.substring_index("k", "_", 1).alias("author"), F.regexp_extract("k", r"^[^_]*_(.*)$", 1).alias("title")).where("title <> ''"))
+    many = k.groupBy("author").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("author")
+    few = k.join(many, "author", "left_anti")
+    other = few.select(F.col("k").alias("k2"), "author", F.col("title").alias("title2"))
     ratio = threshold / (200.0 - threshold)
-    fits = (F.least(F.length("title"), F.length("title2")) >= ratio * F.greatest(F.length("title"), F.length("title2")))
-    pairs = k.join(other, "author").where((F.col("k") < F.col("k2")) & fits).where(indel_ratio(F.col("title"), F.col("title2")) >= threshold)
-    groups = components(pairs, "k", "k2")
+    fits = F.least(F.length("title"), F.length("title2")) >= ratio * F.greatest(F.length("title"), F.length("title2"))
+    pairs = few.join(other, "author").where(F.col("k") < F.col("k2")).select("k", "title", "k2", "title2")
+    pairs = pairs.unionByName(_segment_pairs(k.join(many, "author", "left_semi"), threshold)).where(fits)
+    groups = components(spread(pairs).where(indel_ratio(F.col("title"), F.col("title2")) >= threshold), "k", "k2")
     all_keys = keys.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct()
     return all_keys.join(groups, "key", "left").select("key", F.coalesce("gruppe", "key").alias("kanon"))
 

@@ -14,6 +14,15 @@ from quercus.functions.text import words
 
 # Function words of German that are no terms.
 STOPS = set("aber als am an auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer eines er es für hat im in ist kann können mit nach nicht noch nur oder ob sich sie sind so sowie über um und unter vom von vor werden wie wird zu zum zur".split())
+# Words of course descriptions that tell no subject, endings of adjectives.
+GENERIC = set(
+    "studierenden grundlagen einführung überblick aktuelle ausgewählte rahmen bedeutung methoden instrumente modul themen aspekte anwendung anwendungen praxis beispiele fallstudien konzepte ansätze möglichkeiten "
+    "vertiefung herausforderungen grenzen ziele aufgaben unternehmen management studierende fähigkeiten erfolgt erwerben dabei gezielt erarbeitet erarbeiten vergleich externen zwecke werden wurde sowie insbesondere "
+    "jeweiligen verschiedene verschiedenen wesentliche wesentlichen relevante relevanten moderne modernen neue neuen eigene eigenen etwa hierbei hinblick stehen steht liegt bereich bereiche bereichen verfahren "
+    "systematisierung persönliche theorie theorien konzept modell modelle modellen rolle form formen fragen fragestellungen basis entwicklung entwicklungen umsetzung analyse analysen gestaltung einsatz arten teil teile "
+    "kontext perspektive perspektiven erfolg faktoren anforderungen".split()
+)
+ADJECTIVES = ["ische", "ischen", "isches", "ale", "alen", "ales", "liche", "lichen", "liches", "ige", "igen", "ive", "iven", "ierte", "ierten", "ende", "enden", "ete", "eten", "orientierte", "bezogene"]
 
 
 def dot(a, b):
@@ -56,6 +65,28 @@ def tfidf_cosine(weights: DataFrame, entity: str) -> DataFrame:
     return left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosinus"))
 
 
+def word_forms(texts: DataFrame, text: str, least: int) -> DataFrame:
+    """``wort, form``: the usual spelling of each word, by frequency, then by code point."""
+    found = texts.select(F.explode(F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{N}}_&-]{{{least},}}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(F.lower("w").alias("wort")).agg(F.min_by("w", F.struct((-F.col("n")).alias("m"), "w")).alias("form"))
+
+
+def noun_terms(weights: DataFrame, forms: DataFrame, entity: str) -> DataFrame:
+    """The weights (entity, term, df, gewicht) of terms fit for a label: their words are usually written with
+    a capital; a single word has no ending of an adjective; two words occur together in at least three
+    entities and in 0.6 of those of the rarer one, the second being no adjective. The test is made once a term."""
+    terms = weights.select("term", "df").distinct()
+    adjective = lambda w: w.rlike("(?:" + "|".join(ADJECTIVES) + ")$")
+    parts = terms.select("term", "df", F.split_part("term", F.lit(" "), F.lit(1)).alias("x"), F.split_part("term", F.lit(" "), F.lit(2)).alias("y"))
+    for side in "xy":
+        parts = parts.join(forms.select(F.col("wort").alias(side), F.col("form").rlike(r"^\p{Lu}").alias(f"{side}_up")), side, "left")
+        parts = parts.join(terms.select(F.col("term").alias(side), F.col("df").alias(f"{side}_df")), side, "left")
+    many = F.lit(1_000_000_000)
+    pair = F.col("y_up") & ~adjective(F.col("y")) & (F.col("df") >= 3) & (F.col("df") >= 0.6 * F.least(F.coalesce("x_df", many), F.coalesce("y_df", many)))
+    fit = parts.where(F.col("x_up") & F.when(F.col("y") == "", ~adjective(F.col("x"))).otherwise(pair)).select("term")
+    return weights.join(fit, "term", "left_semi")
+
+
 def top_terms(weights: DataFrame, entity: str, n: int = 25) -> DataFrame:
     w = Window.partitionBy(entity).orderBy(F.desc("gewicht"), "term")
     return weights.withColumn("rang", F.row_number().over(w)).where(F.col("rang") <= n)

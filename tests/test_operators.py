@@ -184,19 +184,63 @@ def test_text_functions(spark):
 
 
 def test_dehyphenate(spark):
-    known = spark.createDataFrame([("unternehmen",)], "wort string")
-    t = spark.createDataFrame([(1, "Unter- nehmen und Wirtschafts- und Recht"), (2, None), (3, "")], "id int, t string")
-    got = {r.id: r.t for r in L.dehyphenate(t, "id", "t", known).collect()}
-    assert got == {1: "Unternehmen und Wirtschafts- und Recht", 2: None, 3: ""}
+    known = spark.createDataFrame([("unternehmen",), ("unternehm",), ("nehmens",)], "wort string")
+    t = spark.createDataFrame([(1, "Unter- nehmen und Wirtschafts- und Recht"), (2, None), (3, ""), (4, "Unter- nehm geht; Unter- nehmens bleibt")], "id int, t string")
+    got = {r.id: r.t for r in L.dehyphenate(t, ["id"], "t", known).collect()}
+    # a word is joined as a whole: what begins like a joined one stays
+    assert got == {1: "Unternehmen und Wirtschafts- und Recht", 2: None, 3: "", 4: "Unternehm geht; Unter- nehmens bleibt"}
 
 
 def test_openings(spark):
-    rows = [(f"m{i}", f"Die Studierenden lernen {w} kennen. Danach {w}.") for i, w in enumerate(["Alpha", "Beta", "Gamma", "Delta"])]
-    df = spark.createDataFrame(rows, "m string, t string")
-    got = {r.phrase: r.df for r in L.opening_phrases(df, "m", "t", least=4).collect()}
-    assert got == {"die studierenden": 4, "die studierenden lernen": 4}
-    left = {r.m: r.t for r in L.strip_openings(df, "m", "t", L.opening_phrases(df, "m", "t", least=4)).collect()}
-    assert left["m0"] == "Alpha kennen. Danach Alpha."
+    rows = [(f"m{i}", f"Die Studierenden lernen {w}  kennen. Danach {w}. Die Studierenden erkennen und {w}. Sie können.") for i, w in enumerate(["Alpha", "Beta", "Gamma", "Delta"])]
+    df = spark.createDataFrame([*rows, ("x", None), (None, "")], "m string, t string")
+    phrases = L.opening_phrases(df, "m", "t", least=4)
+    got = {r.phrase: r.df for r in phrases.collect() if r.df}
+    assert got == {"die studierenden": 4, "die studierenden lernen": 4, "die studierenden erkennen": 4, "die studierenden erkennen und": 4}
+    assert {r.phrase for r in phrases.where("df = 0").collect()} == set(L.SEEDS)
+    left = {r.m: r.t for r in L.strip_openings(df, ["m"], "t", phrases).collect()}
+    # white space inside stays, no cut before a conjunction, a sentence that is a phrase goes
+    assert left["m0"] == "Alpha  kennen. Danach Alpha. Alpha." and set(left) == {"m0", "m1", "m2", "m3"}
+
+
+def test_inverted_subject(spark):
+    df = spark.createDataFrame([(1, "Darüber hinaus können sie Preise bilden.")], "id int, t string")
+    phrases = spark.createDataFrame([("darüber hinaus",)], "phrase string")
+    assert L.strip_openings(df, ["id"], "t", phrases).first()["t"] == "Preise bilden."
+
+
+def test_cleaning(spark):
+    texts = {"Stand vom 01.02.2023\nPreise [list]und\nW3M10001 // Seite 3\nRecht": "Preise\nund\nRecht", "LERNEINHEITEN UND INHALTE Recht": "Recht", "Pru\u0308fung": "Prüfung"}
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    got = [r.x for r in T.compose(df.select("t", F.col("t").alias("o")), "t").select("o", T.clean_text(F.col("t")).alias("x")).collect()]
+    assert sorted(got) == sorted(texts.values())
+
+
+def test_hot_author(spark, monkeypatch):
+    """Titles that meet by their segments are the same pairs as all with all."""
+    rng = random.Random(6)
+    stem = ["grundlagen_preis_menge", "einfuhrung_steuer_recht", "handbuch_markt_wert"]
+    keys = []
+    for _ in range(120):
+        t = list(rng.choice(stem))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice(["", "x", t[k] + "y"])
+        keys.append("ohneautor_" + "".join(t))
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    plain = {r.key: r.kanon for r in S.canonical_keys(df, "k").collect()}
+    monkeypatch.setattr(S, "MANY", 5)
+    assert {r.key: r.kanon for r in S.canonical_keys(df, "k").collect()} == plain
+    assert 1 < len(set(plain.values())) < len(plain)
+
+
+def test_corporate_authors():
+    p = Parser()
+    entries, _ = p.split("Deutsche Gesellschaft für Recht (DGR): Leitfaden, Berlin 2010\nBerg, A.: Recht, Wien 2011")
+    f = [p.fields(*e) for e in entries]
+    assert [x["erstautor_nachname"] for x in f] == ["Deutsche Gesellschaft für Recht (DGR)".split(" (")[0], "Berg"] and f[0]["titel"] == "Leitfaden"
+    f = p.fields(*p.split("Lang, E.: Preise, Kontor Verlag, Neudorf, 2003")[0][0])
+    assert (f["titel"], f["ort"], f["jahr"]) == ("Preise", "Neudorf", "2003")
 
 
 def test_outline(spark):
