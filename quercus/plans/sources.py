@@ -130,7 +130,7 @@ SQL = {
     "markdown_modules": f"""SELECT modulnummer, {_S.format('modulname')} AS modulname, coalesce(nullif({_S.format('modulname_en')}, ''), 'FACHKOMPETENZ') AS modulname_en, CASE WHEN regexp_full_match(trim(ects), '\\d+([.,]\\d+)?') THEN trim(ects) ELSE '' END AS ects,
  {_S.format('fachkompetenz')} AS fachkompetenz, {_S.format('methodenkompetenz')} AS methodenkompetenz, {_S.format('modulname')} AS lehr_lerneinheiten, {_S.format('voraussetzungen')} AS voraussetzungen FROM module WHERE regexp_full_match(modulnummer, 'W3M\\d{{5}}') AND trim(modulname) <> ''""",
     "text_hashes": f"SELECT doc_id, {_HASH} AS hash FROM documents",
-    "embedding_cache": f"SELECT DISTINCT {_HASH} AS hash, CASE WHEN text = '' THEN -1 ELSE 64 END AS laenge FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)",
+    "embedding_cache": f"SELECT DISTINCT {_HASH} AS hash, CASE WHEN text <> '' THEN 64 END AS laenge FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)",
     "labelled_titles": "SELECT lit_id, CASE WHEN trim(coalesce(ort, '')) <> '' THEN ort || ': ' || titel ELSE titel END AS text FROM literatur",
     "semester_table": "SELECT * FROM (VALUES ('23/24', 0::BIGINT, 'WiSe23/24'), ('23/24', 1, 'SoSe24'), ('24/25', 0, 'WiSe24/25'), ('24/25', 1, 'SoSe25'), ('25/26', 0, 'WiSe25/26'), ('25/26', 1, 'SoSe26')) t(jahr, nr, semester)",
     "weight_shares": "SELECT name, wert::DOUBLE AS wert FROM (VALUES ('contents', 0.45), ('competences', 0.35), ('literature', 0.2), ('gut contents', 10), ('gut competences', 0), ('gut literature', 100), ('gut cap', 8), ('gut k', 118), ('leer contents', 45), ('leer competences', 35), ('leer literature', 20), ('leer cap', 5), ('leer k', 158), ('tief contents', 1), ('tief competences', 1), ('tief literature', 1), ('tief cap', 0), ('tief k', 118)) t(name, wert)",
