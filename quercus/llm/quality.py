@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from math import floor
 from operator import eq
 
 import pyarrow as pa
@@ -299,7 +300,7 @@ STATS = "zeichen long, woerter long, mittlere_wortlaenge double, symbolanteil do
 
 def describe(c: dict[str, int]) -> tuple:
     visible, words_, lines = c["zeichen"] - c["leer"], c["woerter"], c["zeilen"]
-    share = lambda a, b: round(a / b, 6) if b else None
+    share = lambda a, b: floor(a / b * 1e6 + 0.5) / 1e6 if b else None
     columns = max(c["tab"], c["strich"], c["semikolon"], c["zitat"], c["spalten"], c["komma"])
     return (
         c["zeichen"], words_, share(c["wortzeichen"], words_), share(visible - c["buchstaben"], visible), lines,

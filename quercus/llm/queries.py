@@ -169,7 +169,7 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of p10_stats that SQL can count, too."""
-    return p10_stats(spark, folder).select("doc_id", "zeichen", "woerter", "zeilen", *[F.round(c, 5).alias(c) for c in ("mittlere_wortlaenge", "satzende_anteil", "haeufig_anteil")])
+    return p10_stats(spark, folder).select("doc_id", "zeichen", "woerter", "mittlere_wortlaenge", "zeilen", "satzende_anteil", "haeufig_anteil")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_repaired, p4_found, p5_found, p6_found, p6_clusters, p6_typical, p7_found, p7_weights, p8_ids, p9_mix, p9_shares, p10_found, p10_stats, p10_counts)}

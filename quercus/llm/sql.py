@@ -24,6 +24,6 @@ UNION ALL SELECT DISTINCT 'lit_key', modulnummer, lit_key FROM literatur WHERE m
     "p7_weights": f"""WITH {_TERMS.replace(" WHERE_", "")}, {_weights("a", "t", "zeile_id", "begriff")}, {_weights("b", "literatur", "modulnummer", "lit_key")}
 SELECT 'text' AS feld, r::VARCHAR AS satz, t AS begriff, tf, gf, df, round(w, 6) AS gewicht FROM a UNION ALL SELECT 'lit_key', r, t, tf, gf, df, round(w, 6) FROM b""",
     "p10_counts": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS w, list_filter(regexp_split_to_array(t, '\r\n|\n|\r|\x{{2028}}|\x{{85}}'), lambda l: regexp_matches(l, '[^{_BLANK}]')) AS z FROM t)
-SELECT doc_id, length(t) AS zeichen, len(w) AS woerter, round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / nullif(len(w), 0), 5) AS mittlere_wortlaenge, len(z) AS zeilen,
- round(len(list_filter(z, lambda l: regexp_matches(l, '[.!?][{_BLANK}]*$')))::DOUBLE / nullif(len(z), 0), 5) AS satzende_anteil, round(len(list_filter(w, lambda x: list_contains([{_CASED}], x)))::DOUBLE / nullif(len(w), 0), 5) AS haeufig_anteil FROM w""",
+SELECT doc_id, length(t) AS zeichen, len(w) AS woerter, round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / nullif(len(w), 0), 6) AS mittlere_wortlaenge, len(z) AS zeilen,
+ round(len(list_filter(z, lambda l: regexp_matches(l, '[.!?][{_BLANK}]*$')))::DOUBLE / nullif(len(z), 0), 6) AS satzende_anteil, round(len(list_filter(w, lambda x: list_contains([{_CASED}], x)))::DOUBLE / nullif(len(w), 0), 6) AS haeufig_anteil FROM w""",
 }
