@@ -21,17 +21,33 @@ def rarest_shared(items: DataFrame, entity: str, item: str, n: int) -> DataFrame
     """``a, b, rang, item, df`` for a < b: the ``n`` rarest items that each pair shares, ties by item.
 
     For entities of a bounded number. Items with the same owners are alike to every pair, so
-    only the n first of each set of owners can be among a pair's n rarest (they have one
-    df): what fans out to pairs is bounded by the sets of owners, not by the items.
+    only the n first of each set of owners can be among a pair's n rarest (they have one df).
+    What fans out to pairs goes in order of df: first the rarest quarter of the items; only
+    pairs that find fewer than n there meet the others.
     """
     distinct = items.select(F.col(entity).alias("e"), F.col(item).alias("i")).where("e is not null and i is not null").distinct()
-    owners = distinct.groupBy("i").agg(F.sort_array(F.collect_list("e")).alias("es")).where(F.size("es") > 1)
+    owners = distinct.groupBy("i").agg(F.sort_array(F.collect_list("e")).alias("es"), F.count(F.lit(1)).alias("df")).where("df > 1")
     first = Window.partitionBy("es").orderBy("i")
-    owners = owners.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)
-    left = owners.select("i", "es", F.posexplode("es").alias("k", "a"))
-    each = left.select("a", F.explode(F.slice("es", F.col("k") + 2, F.size("es"))).alias("b"), "i", F.size("es").cast("bigint").alias("df"))
+    owners = cut_lineage(owners.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n).drop("r"))
     order = Window.partitionBy("a", "b").orderBy("df", "i")
-    return each.withColumn("rang", F.row_number().over(order)).where(F.col("rang") <= n).select("a", "b", "rang", F.col("i").alias(item), "df")
+
+    def best(of: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+        each = of.select("i", "df", "es", F.posexplode("es").alias("k", "a")).select("a", F.explode(F.slice("es", F.col("k") + 2, F.size("es"))).alias("b"), "i", "df")
+        each = each if wanted is None else each.join(F.broadcast(wanted), ["a", "b"], "left_semi")
+        return each.withColumn("rang", F.row_number().over(order)).where(F.col("rang") <= n)
+
+    middle = owners.agg(F.percentile_approx("df", 0.25)).first()[0]
+    if middle is None:
+        return best(owners).select("a", "b", "rang", F.col("i").alias(item), "df")
+    rare = cut_lineage(best(owners.where(F.col("df") <= middle)))
+    # every pair of entities of a bounded number: whether the rare items are enough
+    es = cut_lineage(distinct.select("e").distinct())
+    full = rare.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= n).select("a", "b")
+    short = cut_lineage(es.select(F.col("e").alias("a")).join(es.select(F.col("e").alias("b")), F.col("a") < F.col("b")).join(full, ["a", "b"], "left_anti"))
+    out = rare.join(short, ["a", "b"], "left_anti")
+    if not short.isEmpty():
+        out = out.unionByName(best(owners, short))
+    return out.select("a", "b", "rang", F.col("i").alias(item), "df")
 
 
 def idf_dice(pairs: DataFrame, items: DataFrame, entity: str, item: str) -> DataFrame:

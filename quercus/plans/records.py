@@ -55,20 +55,20 @@ def word_casing(spark: SparkSession, folder: str) -> DataFrame:
 
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     """tf-idf of the documents' terms by source."""
-    return V.tfidf(V.term_rows(read(spark, folder, "documents").where("source is not null"), "source", "text"), "source", 2, 0.5).select("source", "term", "df", F.round("gewicht", 6).alias("gewicht"))
+    return V.tfidf(V.term_rows(read(spark, folder, "documents").where("source is not null"), "source", "text"), "source", CONFIG.min_df, CONFIG.max_df).select("source", "term", "df", F.round("gewicht", 6).alias("gewicht"))
 
 
 def label_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The 25 most telling terms of every module, its name counted twice: nouns and short names, no filler; a
     pair of words if it is a fixed one."""
     m = modules(spark, folder).where("modulnummer is not null").select("modulnummer", F.concat_ws(". ", "modulname", "modulname", "inhalte").alias("text"))
-    w = V.tfidf(V.term_rows(m, "modulnummer", "text", V.STOPS | V.GENERIC, least=3), "modulnummer", 2, 0.3).withColumn("gewicht", F.round("gewicht", 9))
+    w = V.tfidf(V.term_rows(m, "modulnummer", "text", V.STOPS | V.GENERIC, least=3), "modulnummer", CONFIG.min_df, CONFIG.label_max_df).withColumn("gewicht", F.round("gewicht", 9))
     named = V.noun_terms(w, V.word_forms(m, "text", 3), "modulnummer")
-    return V.top_terms(named, "modulnummer", 25).select("modulnummer", F.col("rang").cast("bigint").alias("rang"), "term")
+    return V.top_terms(named, "modulnummer", CONFIG.label_terms).select("modulnummer", F.col("rang").cast("bigint").alias("rang"), "term")
 
 
 def source_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    w = V.tfidf(V.term_rows(read(spark, folder, "documents").where("source is not null"), "source", "text"), "source", 2, 0.5)
+    w = V.tfidf(V.term_rows(read(spark, folder, "documents").where("source is not null"), "source", "text"), "source", CONFIG.min_df, CONFIG.max_df)
     return V.tfidf_cosine(w, "source").select("a", "b", F.round("cosinus", 6).alias("cosinus"))
 
 
@@ -86,7 +86,7 @@ def frequent_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def canonical_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return S.canonical_keys(read(spark, folder, "literatur"), "lit_key")
+    return S.canonical_keys(read(spark, folder, "literatur"), "lit_key", CONFIG.fuzzy_threshold)
 
 
 def lines_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +173,7 @@ def literature_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def learn_places(spark: SparkSession, folder: str) -> DataFrame:
-    return places(read(spark, folder, "literatur"), "eintrag_roh")
+    return places(read(spark, folder, "literatur"), "eintrag_roh", CONFIG.place_strong, CONFIG.place_weak)
 
 
 def prefix_programme(spark: SparkSession, folder: str) -> DataFrame:

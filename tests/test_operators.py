@@ -285,3 +285,17 @@ def test_parameters():
     assert c.share("contents") == pytest.approx(0.45)
     assert check_parameters({"contents": 0, "competences": 0, "literature": 0}, 7, 500, 158, 40) == ({"contents": 45, "competences": 35, "literature": 20}, 5, 158)
     assert check_parameters({"contents": 10, "competences": 0, "literature": 100}, 8, 3, 158, 40)[2] == 118
+
+
+def test_rarest_shared(spark):
+    rng = random.Random(8)
+    owned = {(e, i) for i in range(200) for e in rng.sample(range(9), rng.randrange(1, 8))} | {(20, 1), (21, 1), (None, 3)}
+    df = spark.createDataFrame(list(owned), "e int, i int")
+    got = {}
+    for r in S.rarest_shared(df, "e", "i", 5).collect():
+        got.setdefault((r.a, r.b), {})[r.rang] = r.i
+    sets = {e: {i for x, i in owned if x == e} for e in {e for e, _ in owned if e is not None}}
+    n = {i: sum(i in s for s in sets.values()) for _, i in owned}
+    want = {(a, b): dict(enumerate(sorted(sets[a] & sets[b], key=lambda i: (n[i], i))[:5], 1)) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert got == want
+    assert S.rarest_shared(df.limit(0), "e", "i", 5).count() == 0
