@@ -228,7 +228,7 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     broken = broken.select("k", "feld", "row", *[plain(f"x.{a}").alias(b) for a, b in (("raw", "wort"), ("l", "l"), ("r", "r"))])
     trusted = trusted.select(composed(F.col(trusted_text)).alias("t"))
     known = cut_lineage(vocabulary(trusted, "t").withColumn("s", skeleton(F.col("wort"))))
-    forms = cut_lineage(single.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.count(F.lit(1)).alias("times")))
+    forms = single.where(r"length(wort) >= 3 and wort rlike '\\p{L}'").groupBy("wort").agg(F.count(F.lit(1)).alias("times"))
     forms = cut_lineage(forms.join(known.select("wort", F.col("n").alias("has")), "wort", "left").withColumn("s", skeleton(F.col("wort"))))
     right = known.select("s", F.col("wort").alias("right"), "n", F.lit(0).alias("own"))
     right = right.unionByName(forms.where("has is null and times >= 2").select("s", F.col("wort").alias("right"), F.col("times").alias("n"), F.lit(1).alias("own")))
@@ -240,7 +240,7 @@ def repair(df: DataFrame, key: str, fields: list[str], trusted: DataFrame, trust
     # a word that can be but one form needs no context
     ways = options.groupBy("wort").agg(F.count(F.lit(1)).alias("ways"), F.min("right").alias("right"), F.max("known").alias("known"))
     settled = ways.where("ways = 1 and not known").select("wort", "right")
-    rivals = cut_lineage(options.join(settled, "wort", "left_anti"))
+    rivals = options.join(settled, "wort", "left_anti")
     fixes = _in_context(doubtful.select("wort", "l", "r").distinct(), rivals, trusted, "t")
     fixed = doubtful.join(fixes, ["wort", "l", "r"]).unionByName(doubtful.join(settled, "wort"))
     fixed = cut_lineage(fixed.select("k", "feld", "row", "wort", "l", "r", "right"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,7 +115,7 @@ def embedding(edges: DataFrame, parts: DataFrame, rounds: int = ROUNDS) -> DataF
     size = parts.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
     steps = cut_lineage(walk_steps(edges).join(parts, "v"))
     x = cut_lineage(parts.select("v", "part", *[_vector(i).alias(n) for i, n in enumerate(NAMES)]))
-    tight = None
+    tight: list[DataFrame] = []
     for done in range(EVERY, rounds + EVERY, EVERY):
         for _ in range(min(EVERY, rounds - done + EVERY)):
             x = steps.join(x.select(F.col("v").alias("u"), *NAMES), "u").groupBy("v", "part").agg(*[F.sum(F.col("p") * F.col(n)).alias(n) for n in NAMES])
@@ -124,14 +125,13 @@ def embedding(edges: DataFrame, parts: DataFrame, rounds: int = ROUNDS) -> DataF
         width = F.sqrt(sum((F.max(n) - F.min(n)) ** 2 for n in NAMES)).alias("width")
         loose = x.groupBy("part").agg(width).join(size, "part").where(F.col("width") * F.sqrt("m") / START > RADIUS).select("part")
         loose = cut_lineage(loose)
-        still = x.join(loose, "part", "left_anti").select("v", "part")
-        tight = cut_lineage(still) if tight is None else cut_lineage(tight.unionByName(still))
-        x, steps = cut_lineage(x.join(loose, "part", "left_semi")), cut_lineage(steps.join(loose, "part", "left_semi"))
+        tight.append(x.join(loose, "part", "left_anti").select("v", "part", *[F.lit(0.0).alias(n) for n in NAMES]))
         if loose.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, tight)
+        x, steps = cut_lineage(x.join(loose, "part", "left_semi")), cut_lineage(steps.join(loose, "part", "left_semi"))
     means = x.groupBy("part").agg(*[F.avg(n).alias(f"m{n}") for n in NAMES]).join(size, "part")
     out = x.join(means, "part").select("v", "part", *[((F.col(n) - F.col(f"m{n}")) * F.sqrt("m") / START).alias(n) for n in NAMES])
-    return out if tight is None else out.unionByName(tight.select("v", "part", *[F.lit(0.0).alias(n) for n in NAMES]))
+    return reduce(DataFrame.unionByName, tight, out)
 
 
 def _distance(prefix: str) -> Column:
@@ -150,15 +150,16 @@ def k_means(x: DataFrame) -> DataFrame:
     member. A member meets two centres a round, however many there are.
     """
     wide = x.withColumn("c", F.col("part").cast("string"))
-    done = None
+    done: list[DataFrame] = []
     for depth in count():
         centre = wide.groupBy("part", "c").agg(*[F.avg(n).alias(f"c{n}") for n in NAMES])
         far = wide.join(centre, ["part", "c"]).groupBy("part", "c").agg(F.max(F.struct(_distance("c").alias("r"), *NAMES, "v")).alias("f")).where(F.col("f.r") > RADIUS)
         far = cut_lineage(far.select("part", "c", *[F.col(f"f.{n}").alias(f"a{n}") for n in NAMES]))
-        narrow = wide.join(far.select("part", "c"), ["part", "c"], "left_anti").select("v", "part", "c")
-        done = cut_lineage(narrow) if done is None else cut_lineage(done.unionByName(narrow))
         if far.isEmpty():
-            return done.select("v", F.concat_ws(" ", F.col("part").cast("string"), "c").alias("cluster"))
+            every = reduce(DataFrame.unionByName, done, wide.select("v", "part", "c"))
+            return every.select("v", F.concat_ws(" ", F.col("part").cast("string"), "c").alias("cluster"))
+        done.append(wide.join(far.select("part", "c"), ["part", "c"], "left_anti").select("v", "part", "c"))
+        wide = cut_lineage(wide.join(far.select("part", "c"), ["part", "c"], "left_semi"))
         other = wide.join(far, ["part", "c"]).groupBy("part", "c").agg(F.max(F.struct(_distance("a").alias("r"), *NAMES, "v")).alias("f"))
         centres = far.join(other.select("part", "c", *[F.col(f"f.{n}").alias(f"b{n}") for n in NAMES]), ["part", "c"])
         sides, before = wide, None
