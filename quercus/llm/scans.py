@@ -36,10 +36,10 @@ def skeleton(word: Column) -> Column:
     n, u, h and ü are two minims, m is three, i, l, r and 1 are one; e and c, t and f,
     g and 9, o and 0, b and 8, s and 5 are one sign each.
     """
-    x = F.regexp_replace(F.lower(word), "[nuhü]", "ii")
-    x = F.regexp_replace(F.regexp_replace(x, "m", "iii"), "[l1rj|!]", "i")
-    x = F.regexp_replace(F.regexp_replace(x, "d", "ci"), "w", "vv")
-    return F.translate(x, "cf90856äöß2q", "etgobsbaosz" + "g")
+    x = F.lower(word)
+    for glyph, strokes in (("n", "ii"), ("u", "ii"), ("h", "ii"), ("ü", "ii"), ("m", "iii"), ("d", "ci"), ("w", "vv")):
+        x = F.replace(x, F.lit(glyph), F.lit(strokes))
+    return F.translate(x, "l1rj|!cf90856äöß2q", "iiiiiietgobsbaoszg")
 
 
 def composed(text: Column) -> Column:
@@ -125,7 +125,7 @@ def word_array(text: Column, token: str = WORD) -> Column:
 
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:
     """``wort, n``: the words of trusted texts and how often they occur."""
-    return texts.select(F.explode(word_array(F.col(column))).alias("wort")).groupBy("wort").agg(F.count(F.lit(1)).alias("n"))
+    return texts.select(F.explode_outer(word_array(F.col(column))).alias("wort")).where("wort is not null").groupBy("wort").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _beside(words: Column) -> Column:
@@ -144,7 +144,8 @@ def _only(arrays: DataFrame, words: str, wanted: DataFrame) -> DataFrame:
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
     some = wanted.select(bucket("w").alias("bucket")).distinct()
     others = [c for c in arrays.columns if c != words]
-    rows = arrays.select(*others, words, F.posexplode(words).alias("i", "w")).withColumn("bucket", bucket("w")).join(F.broadcast(some), "bucket", "left_semi")
+    # the outer form, or the array would be made twice: once more to see whether it is empty
+    rows = arrays.select(*others, words, F.posexplode_outer(words).alias("i", "w")).where("w is not null").withColumn("bucket", bucket("w")).join(F.broadcast(some), "bucket", "left_semi")
     beside = lambda i: F.coalesce(F.get(words, i), F.lit(""))
     near = rows.select(*others, "w", F.when(F.col("i") > 0, beside(F.col("i") - 1)).otherwise("").alias("l"), beside(F.col("i") + 1).alias("r"))
     return near.join(wanted.select("w").distinct(), "w", "left_semi")
@@ -162,9 +163,14 @@ def _in_context(cases: DataFrame, options: DataFrame, trusted: DataFrame, column
     """
     forms = options.select(F.col("right").alias("w")).unionByName(options.where("known").select(F.col("wort").alias("w")))
     beside = _only(trusted.select(word_array(F.col(column)).alias("ws")), "ws", forms)
-    beside = cut_lineage(beside.select(F.col("w").alias("right"), skeleton(F.col("l")).alias("sl"), skeleton(F.col("r")).alias("sr")))
-    left = beside.where("sl <> ''").groupBy("right", "sl").agg(F.count(F.lit(1)).alias("nl"))
-    right = beside.where("sr <> ''").groupBy("right", "sr").agg(F.count(F.lit(1)).alias("nr"))
+    beside = cut_lineage(beside.select(F.col("w").alias("right"), "l", "r"))
+
+    def support_of(side: str) -> DataFrame:
+        # counted as they stand before their skeletons are made
+        counts = beside.where(f"{side} <> ''").groupBy("right", side).agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("right", skeleton(F.col(side)).alias(f"s{side}")).agg(F.sum("n").alias(f"n{side}"))
+
+    left, right = support_of("l"), support_of("r")
     own = options.where("known").select("wort", F.col("wort").alias("right"), F.lit(0).alias("own"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("n")).distinct()
     tried = cases.withColumn("sl", skeleton(F.col("l"))).withColumn("sr", skeleton(F.col("r"))).join(options.select("wort", "right", "own", "c", "n").unionByName(own), "wort")
     tried = tried.join(left, ["right", "sl"], "left").join(right, ["right", "sr"], "left")
