@@ -112,6 +112,69 @@ def test_works_one_word(spark):
     assert got == {("gamirrath_markktverteilung", "gamirrath_marktverteilung"), ("gamirrath_talentberatung", "gamirrath_talentbratung")}
 
 
+def test_slip_join(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 7))) for _ in range(150)] + ["xabcdy", "yabcdx", "abcdyx", "bcdefa", "abcdef"]
+    rows = [(rng.choice("xy"), w) for w in words] + [("x", None), (None, "abc"), ("x", words[0])]
+    got = {(r.block, r.a, r.b) for r in N.slip_strings(spark.createDataFrame(rows, "g string, s string"), "g", "s").collect()}
+    kept = {(g, s) for g, s in rows if g and s and len(s) > 2}
+    slip = lambda a, b: edit(a, b) <= 1 or (edit(a, b) == 2 and sorted(a) == sorted(b))
+    assert got == {(g, a, b) for g, a in kept for h, b in kept if g == h and a < b and slip(a, b)}
+
+
+WORK_COLS = "lit_key string, a string, f string, t string, y string, o string"
+
+
+def test_works_of_near_surnames(spark, monkeypatch):
+    """No table of surnames two edits apart, nor of works times such surnames, is kept."""
+    kept, cut = [], N.cut_lineage
+
+    def counted(df):
+        df = cut(df)
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(N, "cut_lineage", counted)
+    rng = random.Random(5)
+    names = [f"Ba{x}mo{y}ser" for x in "bdfgklmnprstvz" for y in "bdfgklmnprstvz"]
+    rows = [(f"k{i}", f"{s}, A.", s, "".join(rng.choice("bdglmrst") + rng.choice("aiou") for _ in range(7)), "2001", "Ulm") for i, s in enumerate(names)]
+    rows += [("l0", "Babmobbser, A.", "Babmobbser", rows[0][3], "2001", "Ulm"), ("l1", "Babmogser, A.", "Babmogser", rows[0][3], "2001", "Ulm")]
+    groups = N.work_groups(spark.createDataFrame(rows, WORK_COLS), "lit_key", "a", "f", "t", "y", "o")
+    assert {(r.name_a, r.name_b) for r in N.variant_pairs(groups).collect()} == {("k0", "l0"), ("k0", "l1")} | {("l0", "l1")}
+    assert max(kept) <= len(rows)
+
+
+def test_works_all_with_all(spark):
+    """The groups are those of ``same_work`` asked for every pair of a volume, whatever the pair has in common."""
+    rng = random.Random(6)
+
+    def typed(word):
+        i, kind = rng.randrange(1, len(word) - 1), rng.randrange(12)
+        spelt = {0: word[:i] + word[i + 1 :], 1: word[:i] + word[i] + word[i:], 2: word[:i] + word[i + 1] + word[i] + word[i + 2 :], 3: word[: max(5, i)], 4: word.replace("ü", "ue").replace("ö", "oe")}
+        return spelt.get(kind, word)
+
+    surnames, nouns = ["Bauermann", "Müllerhof", "Schönleben", "Haueisen"], ["Steuerlehre", "Marktaufbau", "Kostenprüfung", "Lohnführung", "Statistik", "Handel"]
+    rows = []
+    for i in range(220):
+        authors = " / ".join(f"{typed(s)}, A." for s in rng.sample(surnames, rng.choice([0, 1, 1, 2])))
+        title = " ".join(typed(w) for w in rng.sample(nouns, rng.choice([1, 1, 2, 3]))) if rng.random() < 0.95 else rng.choice(["Das", "Marktaufbau und", "Markt aufbau"])
+        rows.append((f"k{i}", authors or None, None, title + rng.choice(["", "", " 2"]), rng.choice([None, "1999", "2001", "2003"]), rng.choice([None, "Ulm", "Bonn"])))
+    works = {}
+    for k, a, f, t, y, o in rows:
+        words, volume, kinds = N.read_title(t)
+        works[k] = {"words": words, "volume": volume, "kinds": kinds, "authors": N.read_authors(a, f), "year": y or "", "place": o or ""}
+    least = {k: k for k in works}
+    for _ in range(9):
+        for x in works:
+            for y in works:
+                if bool(works[x]["authors"]) == bool(works[y]["authors"]) and least[y] < least[x] and N.same_work(works[x], works[y]):
+                    least[x] = least[y]
+    of = lambda k: k if least[k] == k else of(least[k])
+    want = {(x, y) for x in works for y in works if x < y and of(x) == of(y)}
+    groups = N.work_groups(spark.createDataFrame(rows, WORK_COLS), "lit_key", "a", "f", "t", "y", "o")
+    assert {(r.name_a, r.name_b) for r in N.variant_pairs(groups).collect()} == want
+
+
 def test_confusions():
     assert _convertible("Grundlagen", "Grnndla9en") == 2 and _convertible("Normen", "Norrnen") == 1 and _convertible("Rahmen", "Ralimen") == 1
     assert _convertible("Haus", "Maus") == -1 and _convertible("Haus", "Haus") == 0
